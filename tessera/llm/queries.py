@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import toxicity
+from tessera.llm import quality, toxicity
 
 QUERIES = {
+    "op1_quality_classifier": quality.op1_quality_classifier,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES: dict[str, str] = {}
