@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import quality, toxicity
+from tessera.llm import pieces, quality, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
+    "op2_sentencepiece": pieces.op2_sentencepiece,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES: dict[str, str] = {}
