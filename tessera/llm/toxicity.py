@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import bounded_sample, crc_of_id, table
+from tessera.llm.shared import bounded_sample, crc_of_id, cut, table
 
 #: Training rows read by the driver: labelled documents and their texts' terms. Documented bounds.
 SAMPLE_ROWS = 6000
@@ -87,22 +87,31 @@ class ToxicModel:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def mine(docs: list[set[str]], toxic: np.ndarray, size: int) -> list[str]:
-    """Terms that mark toxic documents, by log odds with add-one smoothing and a support of 4 at
-    least; strongest by (log odds x support)."""
+def tally(texts: list[str], toxic: list[int]) -> tuple[Counter, Counter]:
+    """In how many toxic and clean texts each term stands; clean counts only of terms met in toxic ones."""
     in_toxic, in_clean = Counter(), Counter()
-    for found, t in zip(docs, toxic):
-        (in_toxic if t else in_clean).update(found)
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
+    for text, t in zip(texts, toxic):
+        (in_toxic if t else in_clean).update(terms(text))
+    return in_toxic, in_clean
+
+
+def mine(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int, size: int = FEATURES) -> list[str]:
+    """Terms that mark toxic documents, by log odds with smoothing and a support of 4 at least;
+    strongest by (log odds x log support). counts: (term, toxic texts, clean texts)."""
     scored = []
-    for t, a in in_toxic.items():
+    for t, a, c in counts:
         if a >= 4:
-            odds = math.log((a + 0.5) / (n1 + 1)) - math.log((in_clean[t] + 0.5) / (n0 + 1))
+            odds = math.log((a + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
             if odds > 2.5:
                 scored.append((-odds * math.log(1 + a), t))
     return [t for _, t in sorted(scored)[:size]]
 
 
+def read(text: str, vocabulary: frozenset[str]) -> tuple[list[str], list[int]]:
+    """What training needs of a text: its terms of the vocabulary, and the patterns' votes."""
+    return sorted(terms(text) & vocabulary), [1 if p.search(text) else 0 for p in PATTERNS]
+
+
 def vote(docs: list[set[str]], patterns: np.ndarray, lexicons: list[list[str]]) -> np.ndarray:
     """Matrix of votes: 1 toxic, -1 clean, 0 abstains. A lexicon votes toxic on a hit and clean on a
     miss; a pattern votes toxic on a hit and abstains on a miss."""
@@ -159,30 +168,63 @@ def linear(docs: list[set[str]], target: np.ndarray, vocabulary: list[str], epoc
     return w[:-1], b
 
 
-def fit(texts: list[str], toxic: list[int]) -> ToxicModel:
-    """The whole method on a bounded sample of labelled texts."""
-    docs, truth = [terms(t) for t in texts], np.array(toxic, dtype=bool)
-    mined = mine(docs, truth, 600) if truth.any() and not truth.all() else []
-    lexicons = [[s] for s in SEED] + [mined[i::VOTERS] for i in range(VOTERS) if mined[i::VOTERS]]
-    patterns = np.array([[1 if p.search(t) else 0 for p in PATTERNS] for t in texts], dtype=np.int8).reshape(len(texts), len(PATTERNS))
-    votes = vote(docs, patterns, lexicons)
-    prior = float(truth.mean()) if len(truth) else 0.1
-    posterior, tables, corr = label_model(votes, max(0.01, min(0.5, prior)))
-    vocabulary = list(dict.fromkeys([*SEED, *mine(docs, posterior >= 0.5, FEATURES)])) if len(docs) else list(SEED)
-    if len(docs) and (posterior >= 0.5).any():
-        weights, bias = linear(docs, posterior, vocabulary)
+def fit_read(hits: list[set[str]], patterns: np.ndarray, mined: list[str], prior: float) -> ToxicModel:
+    """Lexicons from the mined terms, label model, linear classifier on its posterior labels."""
+    lexicons = [[s] for s in SEED] + [x for i in range(VOTERS) if (x := mined[:600][i::VOTERS])]
+    posterior, tables, corr = label_model(vote(hits, patterns, lexicons), max(0.01, min(0.5, prior)))
+    vocabulary = list(dict.fromkeys([*SEED, *mined]))
+    if len(hits) and (posterior >= 0.5).any():
+        weights, bias = linear(hits, posterior, vocabulary)
     else:
-        weights, bias = np.array([4.0] * len(SEED) + [0.0] * (len(vocabulary) - len(SEED))), -2.0
+        weights, bias = np.array([4.0 if t in SEED else 0.0 for t in vocabulary]), -2.0
     return ToxicModel(dict(zip(vocabulary, map(float, weights))), bias, lexicons, tables, corr)
 
 
+def fit(texts: list[str], toxic: list[int]) -> ToxicModel:
+    """The whole method on texts in memory."""
+    in_toxic, in_clean = tally(texts, toxic)
+    n = sum(map(bool, toxic))
+    mined = mine([(t, a, in_clean[t]) for t, a in in_toxic.items()], n, len(texts) - n)
+    rows = [read(t, frozenset([*SEED, *mined])) for t in texts]
+    return fit_read([set(h) for h, _ in rows], as_votes([p for _, p in rows]), mined, n / max(1, len(texts)))
+
+
+def as_votes(rows: list[list[int]]) -> np.ndarray:
+    return np.array(rows, dtype=np.int8).reshape(len(rows), len(PATTERNS))
+
+
 def fit_on(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> ToxicModel:
-    """Model from at most `rows` labelled documents of the training folds."""
-    marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic_label"))
+    """Model from at most `rows` labelled documents of the training folds. Executors count terms and
+    read texts; the driver gets the mined terms and, a document, those of them that it has."""
+    marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", (F.col("toxic") > 0).cast("int").alias("mark"))
     marked = bounded_sample(marked.where(crc_of_id() % 5 != 0), "doc_id", rows, "toxicity").dropDuplicates(["doc_id"])
-    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(marked), "doc_id").select("doc_id", "text", "toxic_label")
-    got = got.dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return fit([r.text for r in got], [r.toxic_label for r in got])
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(marked), "doc_id")
+    sample = cut(sample.dropDuplicates(["doc_id"]).select("doc_id", "text", "mark"))
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 200):
+                part = b.iloc[at : at + 200]
+                both = tally(list(part["text"]), list(part["mark"]))
+                for m, c in ((m, c) for m, c in zip((1, 0), both) if c):
+                    yield pd.DataFrame({"term": list(c), "n1": [n * m for n in c.values()], "n0": [n * (1 - m) for n in c.values()]})
+
+    sizes = {r["mark"]: r["count"] for r in sample.groupBy("mark").count().collect()}
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    a, c = F.sum("n1"), F.sum("n0")
+    odds = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("c") + 0.5) / (n0 + 1))
+    strong = sample.select("text", "mark").mapInPandas(counted, "term string, n1 bigint, n0 bigint").groupBy("term").agg(a.alias("a"), c.alias("c"))
+    strong = strong.where((F.col("a") >= 4) & (odds > 2.5)).orderBy((-odds * F.log(F.col("a") + 1)), "term").limit(FEATURES)
+    mined = mine([tuple(r) for r in strong.collect()], n1, n0)
+    known = frozenset([*SEED, *mined])
+
+    def reads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [read(t, known) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "hits": [h for h, _ in got], "patterns": [p for _, p in got]})
+
+    got = sample.mapInPandas(reads, "doc_id bigint, hits array<string>, patterns array<int>").orderBy("doc_id").collect()
+    return fit_read([set(r.hits) for r in got], as_votes([r.patterns for r in got]), mined, n1 / max(1, n1 + n0))
 
 
 def score(docs: DataFrame, model: ToxicModel, out: str = "score") -> DataFrame:
