@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import neardup, pieces, quality, toxicity
+from tessera.llm import neardup, pieces, quality, tokencount, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_sentencepiece": pieces.op2_sentencepiece,
+    "op3_token_counts": tokencount.op3_token_counts,
     "op6_ngram_jaccard_join": neardup.op6_ngram_jaccard_join,
     "op10_toxicity": toxicity.op10_toxicity,
 }
