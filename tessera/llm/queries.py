@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import neardup, pieces, quality, tokencount, toxicity
+from tessera.llm import langid, neardup, pieces, quality, tokencount, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_token_counts": tokencount.op3_token_counts,
     "op6_ngram_jaccard_join": neardup.op6_ngram_jaccard_join,
+    "op7_language_id": langid.op7_language_id,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES: dict[str, str] = {}
