@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from tessera.llm import langid, neardup, pieces, quality, tokencount, toxicity
+from tessera.llm import langid, neardup, pieces, preference, quality, tokencount, toxicity, warc
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_token_counts": tokencount.op3_token_counts,
+    "op4_warc_fixity": warc.op4_warc_fixity,
+    "op5_preference_formatting": preference.op5_preference_formatting,
     "op6_ngram_jaccard_join": neardup.op6_ngram_jaccard_join,
     "op7_language_id": langid.op7_language_id,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc_fixity": warc.SQL,
+    "op5_preference_formatting": preference.SQL,
+}
