@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import langid, neardup, pieces, preference, quality, tokencount, toxicity, warc
+from tessera.llm import imatch, langid, neardup, pieces, preference, quality, tokencount, toxicity, warc
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_preference_formatting": preference.op5_preference_formatting,
     "op6_ngram_jaccard_join": neardup.op6_ngram_jaccard_join,
     "op7_language_id": langid.op7_language_id,
+    "op8_document_fingerprints": imatch.op8_document_fingerprints,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES: dict[str, str] = {
