@@ -1,8 +1,9 @@
-"""Queries of the training-data operators."""
+"""Queries of the training-data operators, and their oracles where SQL can express them."""
 
 from __future__ import annotations
 
-from tessera.llm import imatch, langid, neardup, pieces, preference, quality, tokencount, toxicity, warc
+import corpus_pipeline
+from tessera.llm import decontaminate, imatch, langid, neardup, pieces, preference, quality, tokencount, toxicity, warc
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -13,9 +14,10 @@ QUERIES = {
     "op6_ngram_jaccard_join": neardup.op6_ngram_jaccard_join,
     "op7_language_id": langid.op7_language_id,
     "op8_document_fingerprints": imatch.op8_document_fingerprints,
+    "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op10_toxicity": toxicity.op10_toxicity,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {
-    "op4_warc_fixity": warc.SQL,
-    "op5_preference_formatting": preference.SQL,
-}
+ORACLES = {"op4_warc_fixity": warc.SQL, "op5_preference_formatting": preference.SQL}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
