@@ -6,7 +6,7 @@ length are null where a partner is missing.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -92,16 +92,19 @@ def mahalanobis(a: Column, b: Column, inverse: Sequence[Sequence[float]]) -> Col
 METRICS = {"euclidean": euclidean, "manhattan": manhattan, "chebyshev": chebyshev, "cosine": cosine_distance, "hamming": hamming, "jaccard": jaccard}
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once rather than at each place of a lambda."""
+    return F.transform(F.array(value), lambda v: use(v))[0]
+
+
 def softmax(a: Column) -> Column:
-    top = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / total(e))
+    raised = let(F.array_max(a), lambda top: F.transform(a, lambda x: F.exp(x - top)))
+    return let(raised, lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def log_softmax(a: Column) -> Column:
-    top = F.array_max(a)
-    rest = F.log(total(F.transform(a, lambda x: F.exp(x - top))))
-    return F.transform(a, lambda x: x - top - rest)
+    rest = lambda top: F.log(total(F.transform(a, lambda x: F.exp(x - top))))
+    return let(F.array_max(a), lambda top: let(rest(top), lambda r: F.transform(a, lambda x: x - top - r)))
 
 
 def linspace(start: float, stop: float, n: int) -> Column:
@@ -136,9 +139,11 @@ def dense(weights: Sequence[Sequence[float]], bias: Sequence[float], x: Column,
 
 
 def layer_norm(x: Column, gamma: Sequence[float] | None = None, beta: Sequence[float] | None = None, eps: float = 1e-5) -> Column:
-    mean = total(x) / F.size(x)
-    var = total(F.transform(x, lambda v: (v - mean) * (v - mean))) / F.size(x)
-    out = F.transform(x, lambda v: (v - mean) / F.sqrt(var + eps))
+    def normed(mean: Column) -> Column:
+        var = total(F.transform(x, lambda v: (v - mean) * (v - mean))) / F.size(x)
+        return let(F.sqrt(var + eps), lambda sd: F.transform(x, lambda v: (v - mean) / sd))
+
+    out = let(total(x) / F.size(x), normed)
     out = multiply(out, literal(gamma)) if gamma is not None else out
     return add(out, literal(beta)) if beta is not None else out
 

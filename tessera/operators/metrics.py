@@ -71,26 +71,26 @@ def steps(df: DataFrame, truth: str, score: str) -> DataFrame:
     by = df.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(truth) >= 0.5).alias("p"), F.count("*").alias("n"))
     w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy()
-    return by.select("score", "p", "n", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("seen"), F.sum("p").over(every).alias("P"), F.sum("n").over(every).alias("N"))
+    return by.select("score", "p", "n", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("seen"), F.sum("p").over(every).alias("all_p"), F.sum("n").over(every).alias("all_n"))
 
 
 def roc_curve(df: DataFrame, truth: str, score: str) -> DataFrame:
     """fpr and tpr by threshold, without the point (0, 0)."""
     s = steps(df, truth, score)
-    return s.select(F.col("score").alias("threshold"), ((F.col("seen") - F.col("tp")) / (F.col("N") - F.col("P"))).alias("fpr"), (F.col("tp") / F.col("P")).alias("tpr"))
+    return s.select(F.col("score").alias("threshold"), ((F.col("seen") - F.col("tp")) / (F.col("all_n") - F.col("all_p"))).alias("fpr"), (F.col("tp") / F.col("all_p")).alias("tpr"))
 
 
 def auc_roc(df: DataFrame, truth: str, score: str) -> DataFrame:
     """Area under the curve: of each positive, the negatives below it and half of those beside it."""
     s = steps(df, truth, score)
     negatives = F.col("n") - F.col("p")
-    below = F.col("N") - F.col("P") - (F.col("seen") - F.col("tp"))
-    return s.agg((F.sum(F.col("p") * (below + negatives / 2)) / F.max(F.col("P") * (F.col("N") - F.col("P")))).alias("auc_roc"))
+    below = F.col("all_n") - F.col("all_p") - (F.col("seen") - F.col("tp"))
+    return s.agg((F.sum(F.col("p") * (below + negatives / 2)) / F.max(F.col("all_p") * (F.col("all_n") - F.col("all_p")))).alias("auc_roc"))
 
 
 def pr_curve(df: DataFrame, truth: str, score: str) -> DataFrame:
     s = steps(df, truth, score)
-    return s.select(F.col("score").alias("threshold"), (F.col("tp") / F.col("seen")).alias("precision"), (F.col("tp") / F.col("P")).alias("recall"))
+    return s.select(F.col("score").alias("threshold"), (F.col("tp") / F.col("seen")).alias("precision"), (F.col("tp") / F.col("all_p")).alias("recall"))
 
 
 def auc_pr(df: DataFrame, truth: str, score: str) -> DataFrame:

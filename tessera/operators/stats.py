@@ -131,9 +131,9 @@ def anova(df: DataFrame, column: str, group: str) -> DataFrame:
     """F of between over within; the tail by the square root's normal approximation."""
     g = df.where(F.col(column).isNotNull()).groupBy(group).agg(F.count("*").cast("double").alias("n"), F.avg(column).alias("m"), F.coalesce(F.var_pop(column), F.lit(0.0)).alias("v"))
     n, m = F.col("n"), F.col("m")
-    one = g.agg(F.count("*").cast("double").alias("k"), F.sum(n).alias("N"), F.sum(n * m).alias("s"), F.sum(n * m * m).alias("q"), F.sum(n * F.col("v")).alias("w"))
-    between = (F.col("q") - F.col("s") * F.col("s") / F.col("N")) / (F.col("k") - 1)
-    within = F.col("w") / (F.col("N") - F.col("k"))
+    one = g.agg(F.count("*").cast("double").alias("k"), F.sum(n).alias("total"), F.sum(n * m).alias("s"), F.sum(n * m * m).alias("q"), F.sum(n * F.col("v")).alias("w"))
+    between = (F.col("q") - F.col("s") * F.col("s") / F.col("total")) / (F.col("k") - 1)
+    within = F.col("w") / (F.col("total") - F.col("k"))
     one = one.withColumn("f", between / (within + EPS))
     return one.select(*test(F.col("f"), 1 - normal_cdf(F.sqrt("f")), F.col("k") - 1))
 

@@ -59,9 +59,9 @@ def change_points(df: DataFrame, value: str, order: Sequence[str], least: int =
     every = Window.partitionBy(*by)
     rows = numbered(df, value, order, by)
     s, q = F.col("s"), F.col("q")
-    rows = rows.select("*", F.sum("x").over(before).alias("s"), F.sum(F.col("x") * F.col("x")).over(before).alias("q"), F.sum("x").over(every).alias("S"), F.count("*").over(every).alias("n"))
+    rows = rows.select("*", F.sum("x").over(before).alias("s"), F.sum(F.col("x") * F.col("x")).over(before).alias("q"), F.sum("x").over(every).alias("total"), F.count("*").over(every).alias("n"))
     i, n = F.col("i"), F.col("n")
-    gain = s * s / i + (F.col("S") - s) * (F.col("S") - s) / (n - i) - F.col("S") * F.col("S") / n - penalty
+    gain = s * s / i + (F.col("total") - s) * (F.col("total") - s) / (n - i) - F.col("total") * F.col("total") / n - penalty
     found = rows.where((i >= least) & (i < n - least)).select(*by, "i", gain.alias("score"))
     return found.where("score > 0")
 
