@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("tables", "columns", "statistics")
+MODULES = ("tables", "columns", "statistics", "learning")
 
 
 def load() -> None:
