@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("tables", "columns", "statistics", "learning")
+MODULES = ("tables", "columns", "statistics", "learning", "advanced")
 
 
 def load() -> None:
