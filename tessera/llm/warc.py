@@ -108,15 +108,15 @@ def extent(leaves: DataFrame) -> tuple[int, int, int] | None:
 
 
 def tree(leaves: DataFrame, last: int, low: int, high: int) -> Tree:
-    """The tree over files low to high, each level written once; a node gathers FANOUT children at most."""
+    """The tree over files low to high, numbered from low, each level written once; a node gathers FANOUT children at most."""
     begin, end = F.col("offset"), F.col("offset") + F.col("length")
-    made = Tree([leaves.select(F.col("file_no").alias("a"), F.col("place").alias("b"), begin.alias("begin"), end.alias("end"), F.col("digest").alias("hash"))], 0)
+    made = Tree([leaves.select((F.col("file_no") - low).alias("a"), F.col("place").alias("b"), begin.alias("begin"), end.alias("end"), F.col("digest").alias("hash"))], 0)
     while last:
         made.inner, last = made.inner + 1, last // FANOUT
-    level = 0
-    while level < made.inner or low != high:
+    level, files = 0, high - low
+    while level < made.inner or files:
         if level >= made.inner:
-            low, high = low // FANOUT, high // FANOUT
+            files //= FANOUT
         a, b = made.parent(level)
         child = F.format_string("%d/%d:%d-%d:%s", "a", "b", "begin", "end", "hash")
         joined = F.concat_ws("|", F.array_sort(F.collect_list(child)))
@@ -149,7 +149,7 @@ def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
         if not differ.take(1):
             return none
         wrong = differ.select(F.col("a").alias("pa"), F.col("b").alias("pb"))
-    return differ.select(F.col("a").alias("file_no"), F.col("b").alias("place"), "status")
+    return differ.select((F.col("a") + span[1]).alias("file_no"), F.col("b").alias("place"), "status")
 
 
 def damaged(leaves: DataFrame) -> DataFrame:
