@@ -31,55 +31,47 @@ UNITS = (
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t ton tons oz lb lbs pound pounds ml l liter liters litre litres gal gallon gallons "
     "s sec second seconds min minute minutes h hour hours day days week weeks month months year years cent cents dollar dollars euro euros usd eur percent degrees watt watts volts joules newtons"
 ).split()
-NUM, NAME, UNIT = "\u0001num", "\u0001name", "\u0001unit"
-ENDS = (".", "!", "?", "\n")
-WORD = r"\p{Nd}+(?:[.,]\p{Nd}+)*|[\p{L}_]+|[.!?\n]"
+#: Placeholders, as words that no text has after canonicalisation.
+NUM, NAME, UNIT = "0", "\u0001name", "\u0001unit"
+#: Patterns: a number; a unit after a number's placeholder; a capital inside a sentence; a word.
+NUMBER = r"\p{Nd}+(?:[.,]\p{Nd}+)*"
+AFTER_NUMBER = r"(?<= 0 ) ?(?i:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}_])"
+CAPITAL = r"(?=\p{Lu})(?<=[^.!?\n] )[\p{L}_]+"
+WORD = NUMBER + r"|[\p{L}_]+"
 
 
-def templated(found: Column) -> Column:
-    """Typed words: placeholders for slots, lower case for the rest; sentence ends become empty."""
-    units = F.array(*map(F.lit, UNITS))
+def plain(text: Column) -> Column:
+    """The text, null as empty; the one capital whose lower case is two characters gives way."""
+    return F.replace(F.coalesce(text, F.lit("")), F.lit("\u0130"), F.lit("I"))
 
-    def kind(w: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.element_at(found, F.greatest(i, F.lit(1))))
-        head, first = F.ascii(w), F.substr(w, F.lit(1), F.lit(1))
-        number = lambda c, h: h.between(48, 57) | (h > 127) & F.substr(c, F.lit(1), F.lit(1)).rlike(r"^\p{Nd}")
-        capital = head.between(65, 90) | (head > 127) & (first != F.lower(first))
-        opens = before.isNull() | before.isin(*ENDS)
-        return (
-            F.when(w.isin(*ENDS), "")
-            .when(number(w, head), NUM)
-            .when(number(before, F.ascii(before)) & F.array_contains(units, F.lower(w)), UNIT)
-            .when(capital & ~opens, NAME)
-            .otherwise(F.lower(w))
-        )
 
-    return F.transform(found, kind)
+def templated(text: Column) -> Column:
+    """Words of the template: placeholders for slots, lower case for the rest. Whole-text replacements,
+    so no function runs a word at a time."""
+    named = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, NUMBER, f" {NUM} "), AFTER_NUMBER, f" {UNIT}"), CAPITAL, NAME)
+    return F.array_remove(F.split(F.lower(named), "[^\\p{L}\\p{Nd}_\u0001]+"), "")
 
 
-def prepared(rows: DataFrame, text: str = "text") -> DataFrame:
-    """`rows` with `typed` (templates) and `raw` (lower-case words), sentence ends dropped."""
-    found = rows.withColumn("_found", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0)))
-    both = found.withColumn("_typed", templated(F.col("_found")))
-    pairs = F.zip_with("_typed", "_found", lambda t, w: F.struct(t.alias("t"), w.alias("w")))
-    kept = both.withColumn("_kept", F.filter(pairs, lambda c: c["t"] != ""))
-    return kept.withColumn("typed", F.col("_kept.t")).withColumn("raw", F.transform(F.col("_kept.w"), F.lower)).drop("_found", "_typed", "_kept")
+def raw_words(text: Column) -> Column:
+    """The words that stand at the template's places."""
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
 def windows(words: Column) -> Column:
-    """(at, hash) of each window of an array of typed words."""
+    """Hash of each window of an array of words; a short array has one window."""
     n = F.size(words)
     starts = F.when(n >= SHORTEST, F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words, i + 1, F.lit(WINDOW))).alias("hash")))
+    return F.transform(starts, lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(WINDOW))))
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """Windows of the benchmark that hold at least half literal words: item, at, hash, typed and raw
     words, and the item's number of such windows."""
-    rows = prepared(benchmark.where(F.col("item_id").isNotNull()).select("item_id", "text").distinct())
-    cut_ = rows.select("item_id", "typed", "raw", F.explode(windows(F.col("typed"))).alias("w"))
-    part = lambda c: F.slice(c, F.col("w.at") + 1, F.lit(WINDOW))
-    cut_ = cut_.select("item_id", F.col("w.at").alias("item_at"), F.col("w.hash").alias("hash"), part("typed").alias("item_typed"), part("raw").alias("item_raw"))
+    rows = benchmark.where(F.col("item_id").isNotNull()).select("item_id", plain(F.col("text")).alias("text")).distinct()
+    rows = rows.select("item_id", templated(F.col("text")).alias("typed"), raw_words(F.col("text")).alias("raw"))
+    part = lambda c: F.slice(c, F.col("item_at") + 1, F.lit(WINDOW))
+    cut_ = rows.select("item_id", "typed", "raw", F.posexplode(windows(F.col("typed"))).alias("item_at", "hash"))
+    cut_ = cut_.select("item_id", "item_at", "hash", part("typed").alias("item_typed"), part("raw").alias("item_raw"))
     literal = F.size(F.filter("item_typed", lambda t: ~t.isin(NUM, NAME, UNIT)))
     cut_ = cut_.where(literal * 2 >= F.size("item_typed"))
     return cut_.withColumn("n_windows", F.count("*").over(Window.partitionBy("item_id")))
@@ -88,10 +80,11 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Windows of documents that meet a window of the benchmark, word for word outside the slots."""
     items = cut(item_windows(benchmark))
-    rows = prepared(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text"))
-    seen = rows.select("doc_id", "raw", F.explode(windows(F.col("typed"))).alias("w")).select("doc_id", "raw", F.col("w.at").alias("at"), F.col("w.hash").alias("hash"))
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", plain(F.col("text")).alias("text")).withColumn("typed", templated(F.col("text")))
+    seen = rows.select("doc_id", "text", F.posexplode(windows(F.col("typed"))).alias("at", "hash"))
     met = seen.join(F.broadcast(items) if items.count() <= BROADCAST_ROWS else items, "hash")
-    met = met.select("doc_id", "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), "n_windows", F.slice("raw", F.col("at") + 1, F.lit(WINDOW)).alias("doc_raw"), "item_raw", "item_typed")
+    doc_raw = F.slice(raw_words(F.col("text")), F.col("at") + 1, F.lit(WINDOW))
+    met = met.select("doc_id", "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), "n_windows", doc_raw.alias("doc_raw"), "item_raw", "item_typed")
     slot = F.zip_with(F.arrays_zip("item_typed", "item_raw"), "doc_raw", lambda a, d: F.struct(a["item_typed"].alias("kind"), a["item_raw"].alias("item"), d.alias("doc")))
     met = met.withColumn("cells", slot)
     exact = F.forall("cells", lambda c: c["kind"].isin(NUM, NAME, UNIT) | (c["item"] == c["doc"]))
