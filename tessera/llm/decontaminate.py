@@ -11,8 +11,8 @@ The benchmark's window hashes go to every task as a broadcast only when their nu
 within BROADCAST_ROWS; above it the join shuffles. Only documents with hits carry their words on.
 
 Defined results: null text counts as empty; words are runs of letters, digits and inner dots or
-commas between digits; items of under WINDOW words have one window of all their words, items of under
-SHORTEST words none (they would hit by chance); repeated items each report; rows without doc_id are
+commas between digits; items of under WINDOW words have one window of all their words, which meets
+document windows of that length, items of under SHORTEST words none (they would hit by chance); repeated items each report; rows without doc_id are
 clean and stay.
 """
 
@@ -57,33 +57,44 @@ def raw_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def windows(words: Column) -> Column:
-    """Hash of each window of an array of words; a short array has one window."""
+def hashed(words: Column, start: Column, size: int = WINDOW) -> Column:
+    """Hash of `size` words from a place on; places past the end do not count."""
+    return F.xxhash64(*(F.get(words, start + k) for k in range(size)))
+
+
+def starts(words: Column, size: int) -> Column:
+    """Places where windows of `size` words begin."""
     n = F.size(words)
-    starts = F.when(n >= SHORTEST, F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(WINDOW))))
+    return F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
+
+
+def windows(words: Column, size: int) -> Column:
+    """Size, place and hash of each window of `size` words."""
+    return F.transform(starts(words, size), lambda i: F.struct(F.lit(size).alias("size"), i.alias("at"), hashed(words, i, size).alias("hash")))
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """Windows of the benchmark that hold at least half literal words: item, at, hash, typed and raw
-    words, and the item's number of such windows."""
+    """Windows of the benchmark that hold at least half literal words: item, at, size, hash, typed and
+    raw words, and the item's number of such windows. An item of under WINDOW words is one window."""
     rows = benchmark.where(F.col("item_id").isNotNull()).select("item_id", plain(F.col("text")).alias("text")).distinct()
-    rows = rows.select("item_id", templated(F.col("text")).alias("typed"), raw_words(F.col("text")).alias("raw"))
+    rows = rows.select("item_id", templated(F.col("text")).alias("typed"), raw_words(F.col("text")).alias("raw")).where(F.size("typed") >= SHORTEST)
     part = lambda c: F.slice(c, F.col("item_at") + 1, F.lit(WINDOW))
-    cut_ = rows.select("item_id", "typed", "raw", F.posexplode(windows(F.col("typed"))).alias("item_at", "hash"))
-    cut_ = cut_.select("item_id", "item_at", "hash", part("typed").alias("item_typed"), part("raw").alias("item_raw"))
+    places = F.sequence(F.lit(0), F.greatest(F.size("typed") - WINDOW, F.lit(0)))
+    cut_ = rows.select("item_id", "typed", "raw", F.explode(places).alias("item_at"))
+    cut_ = cut_.select("item_id", "item_at", hashed(F.col("typed"), F.col("item_at")).alias("hash"), part("typed").alias("item_typed"), part("raw").alias("item_raw"))
     literal = F.size(F.filter("item_typed", lambda t: ~t.isin(NUM, NAME, UNIT)))
-    cut_ = cut_.where(literal * 2 >= F.size("item_typed"))
+    cut_ = cut_.where(literal * 2 >= F.size("item_typed")).withColumn("size", F.size("item_typed"))
     return cut_.withColumn("n_windows", F.count("*").over(Window.partitionBy("item_id")))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Windows of documents that meet a window of the benchmark, word for word outside the slots."""
     items = cut(item_windows(benchmark))
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect()) or [WINDOW]
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", plain(F.col("text")).alias("text")).withColumn("typed", templated(F.col("text")))
-    seen = rows.select("doc_id", "text", F.posexplode(windows(F.col("typed"))).alias("at", "hash"))
-    met = seen.join(F.broadcast(items) if items.count() <= BROADCAST_ROWS else items, "hash")
-    doc_raw = F.slice(raw_words(F.col("text")), F.col("at") + 1, F.lit(WINDOW))
+    seen = rows.select("doc_id", "text", F.inline(F.concat(*(windows(F.col("typed"), n) for n in sizes))))
+    met = seen.join(F.broadcast(items) if items.count() <= BROADCAST_ROWS else items, ["size", "hash"])
+    doc_raw = F.slice(raw_words(F.col("text")), F.col("at") + 1, F.col("size"))
     met = met.select("doc_id", "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), "n_windows", doc_raw.alias("doc_raw"), "item_raw", "item_typed")
     slot = F.zip_with(F.arrays_zip("item_typed", "item_raw"), "doc_raw", lambda a, d: F.struct(a["item_typed"].alias("kind"), a["item_raw"].alias("item"), d.alias("doc")))
     met = met.withColumn("cells", slot)

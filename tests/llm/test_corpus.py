@@ -170,6 +170,15 @@ def test_reparameterised_items(spark):  # noqa: ANN001
     assert decontaminate.leaks(docs.limit(0), bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_short_items_inside_long_documents(spark):  # noqa: ANN001
+    texts = {5: "green apples grow near rivers", 6: "seven tired sailors sang very loudly", 7: "old clocks never tick inside silent halls"}
+    bench = spark.createDataFrame(list(texts.items()), "item_id long, text string")
+    around = "before this there are many other words, {} and then some more of them follow here"
+    rows = [(k, around.format(t)) for k, t in texts.items()] + [(10, texts[6]), (11, around.format("green apples grow near lakes"))]
+    got = decontaminate.leaks(documents(spark, rows), bench).collect()
+    assert {(r.doc_id, r.item_id, r.covered, r.changed) for r in got} == {(5, 5, 1.0, False), (6, 6, 1.0, False), (7, 7, 1.0, False), (10, 6, 1.0, False)}
+
+
 def test_planted_passages_by_brute_force(spark):  # noqa: ANN001
     plain = lambda t: " " + " ".join(re.findall(r"\w+", t.lower())) + " "
     items = {r.item_id: plain(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
