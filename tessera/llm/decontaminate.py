@@ -5,7 +5,9 @@ inside a sentence) give way to typed placeholders. Windows of WINDOW placeholder
 benchmark item are hashed and joined with those of every document; a question with other numbers,
 names or units still meets its template. A hit must then be consistent in its slots: aligned at one
 offset, a value of the item stands for one value of the document and the other way round. A document
-leaks an item if consistent windows cover at least SHARE of the item's windows, or RUN of them.
+leaks an item if consistent windows cover at least SHARE of the item's windows, of all or of those
+with at least half literal words, or RUN of them. Windows with fewer literal words would meet too much
+as templates: they are met by their raw words, so that verbatim copies are found.
 
 The benchmark's window hashes go to every task as a broadcast only when their number is counted and
 within BROADCAST_ROWS; above it the join shuffles. Only documents with hits carry their words on.
@@ -68,50 +70,62 @@ def starts(words: Column, size: int) -> Column:
     return F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
 
 
-def windows(words: Column, size: int) -> Column:
-    """Size, place and hash of each window of `size` words."""
-    return F.transform(starts(words, size), lambda i: F.struct(F.lit(size).alias("size"), i.alias("at"), hashed(words, i, size).alias("hash")))
+def windows(words: Column, size: int, verbatim: bool) -> Column:
+    """Kind, size, place and hash of each window of `size` words."""
+    return F.transform(starts(words, size), lambda i: F.struct(F.lit(verbatim).alias("verbatim"), F.lit(size).alias("size"), i.alias("at"), hashed(words, i, size).alias("hash")))
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """Windows of the benchmark that hold at least half literal words: item, at, size, hash, typed and
-    raw words, and the item's number of such windows. An item of under WINDOW words is one window."""
+    """Windows of the benchmark: item, at, size, typed and raw words, whether at least half of them are
+    literal, the item's numbers of windows and of literal ones, and the hash to meet: of typed words if
+    literal, of raw words (verbatim) if not. An item of under WINDOW words is one window, met by raw
+    words as well, as its first capital is a name inside a sentence."""
     rows = benchmark.where(F.col("item_id").isNotNull()).select("item_id", plain(F.col("text")).alias("text")).distinct()
     rows = rows.select("item_id", templated(F.col("text")).alias("typed"), raw_words(F.col("text")).alias("raw")).where(F.size("typed") >= SHORTEST)
     part = lambda c: F.slice(c, F.col("item_at") + 1, F.lit(WINDOW))
     places = F.sequence(F.lit(0), F.greatest(F.size("typed") - WINDOW, F.lit(0)))
     cut_ = rows.select("item_id", "typed", "raw", F.explode(places).alias("item_at"))
-    cut_ = cut_.select("item_id", "item_at", hashed(F.col("typed"), F.col("item_at")).alias("hash"), part("typed").alias("item_typed"), part("raw").alias("item_raw"))
+    cut_ = cut_.select("item_id", "item_at", part("typed").alias("item_typed"), part("raw").alias("item_raw"))
     literal = F.size(F.filter("item_typed", lambda t: ~t.isin(NUM, NAME, UNIT)))
-    cut_ = cut_.where(literal * 2 >= F.size("item_typed")).withColumn("size", F.size("item_typed"))
-    return cut_.withColumn("n_windows", F.count("*").over(Window.partitionBy("item_id")))
+    cut_ = cut_.withColumns({"literal": literal * 2 >= F.size("item_typed"), "size": F.size("item_typed")})
+    of = Window.partitionBy("item_id")
+    cut_ = cut_.withColumns({"n_windows": F.count("*").over(of), "n_literal": F.count_if("literal").over(of)})
+    ways = F.when(~F.col("literal"), F.array(F.lit(True))).when(F.col("size") < WINDOW, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    cut_ = cut_.withColumn("verbatim", F.explode(ways))
+    return cut_.withColumn("hash", F.when(F.col("verbatim"), hashed(F.col("item_raw"), F.lit(0))).otherwise(hashed(F.col("item_typed"), F.lit(0))))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Windows of documents that meet a window of the benchmark, word for word outside the slots."""
+    """Windows of documents that meet a window of the benchmark, word for word outside the slots, or
+    word for word throughout."""
     items = cut(item_windows(benchmark))
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect()) or [WINDOW]
+    kinds = sorted((r["verbatim"], r["size"]) for r in items.select("verbatim", "size").distinct().collect()) or [(False, WINDOW)]
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", plain(F.col("text")).alias("text")).withColumn("typed", templated(F.col("text")))
-    seen = rows.select("doc_id", "text", F.inline(F.concat(*(windows(F.col("typed"), n) for n in sizes))))
-    met = seen.join(F.broadcast(items) if items.count() <= BROADCAST_ROWS else items, ["size", "hash"])
-    doc_raw = F.slice(raw_words(F.col("text")), F.col("at") + 1, F.col("size"))
-    met = met.select("doc_id", "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), "n_windows", doc_raw.alias("doc_raw"), "item_raw", "item_typed")
+    if any(verbatim for verbatim, _ in kinds):
+        rows = rows.withColumn("raw", raw_words(F.col("text")))
+    found = F.concat(*(windows(F.col("raw" if verbatim else "typed"), n, verbatim) for verbatim, n in kinds))
+    seen = rows.select("doc_id", "text", F.inline(found))
+    met = seen.join(F.broadcast(items) if items.count() <= BROADCAST_ROWS else items, ["verbatim", "size", "hash"])
+    met = met.withColumn("doc_raw", F.slice(raw_words(F.col("text")), F.col("at") + 1, F.col("size")))
     slot = F.zip_with(F.arrays_zip("item_typed", "item_raw"), "doc_raw", lambda a, d: F.struct(a["item_typed"].alias("kind"), a["item_raw"].alias("item"), d.alias("doc")))
-    met = met.withColumn("cells", slot)
+    met = met.withColumns({"cells": slot, "shift": F.col("at") - F.col("item_at"), "same": F.col("item_raw") == F.col("doc_raw")})
     exact = F.forall("cells", lambda c: c["kind"].isin(NUM, NAME, UNIT) | (c["item"] == c["doc"]))
-    return met.where(exact).select("doc_id", "item_id", "item_at", "shift", "n_windows", F.filter("cells", lambda c: c["kind"].isin(NUM, NAME, UNIT)).alias("slots"))
+    met = met.where(F.col("same") | (~F.col("verbatim") & exact))
+    return met.select("doc_id", "item_id", "item_at", "shift", "n_windows", "n_literal", "literal", "same", F.filter("cells", lambda c: c["kind"].isin(NUM, NAME, UNIT)).alias("slots"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, covered, changed): documents that hold an item or a re-parameterised one."""
     met = cut(hits(docs, benchmark))
     keys = ["doc_id", "item_id", "shift"]
-    runs = met.groupBy(*keys).agg(F.count_distinct("item_at").alias("n"), F.max("n_windows").alias("of"))
+    literal = F.when(F.col("literal"), F.col("item_at"))
+    runs = met.groupBy(*keys).agg(F.count_distinct("item_at").alias("n"), F.count_distinct(literal).alias("k"), F.max("n_windows").alias("n_of"), F.max("n_literal").alias("k_of"))
+    runs = runs.withColumn("covered", F.greatest(F.col("n") / F.col("n_of"), F.when(F.col("k_of") > 0, F.col("k") / F.col("k_of"))))
     said = met.select(*keys, F.explode("slots").alias("s")).select(*keys, "s.*").distinct()
     said = said.groupBy(*keys).agg(F.count("*").alias("pairs"), F.count_distinct("kind", "item").alias("items"), F.count_distinct("kind", "doc").alias("docs"), F.max(F.col("item") != F.col("doc")).alias("changed"))
     good = runs.join(said, keys, "left").where("pairs is null or pairs = items and pairs = docs")
-    good = good.where((F.col("n") >= F.col("of") * SHARE) | (F.col("n") >= RUN))
-    return good.groupBy("doc_id", "item_id").agg(F.max(F.col("n") / F.col("of")).alias("covered"), F.min(F.coalesce("changed", F.lit(False))).alias("changed"))
+    good = good.where((F.col("covered") >= SHARE) | (F.col("n") >= RUN))
+    return good.groupBy("doc_id", "item_id").agg(F.max("covered").alias("covered"), F.min(F.coalesce("changed", F.lit(False))).alias("changed"))
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,6 +179,15 @@ def test_short_items_inside_long_documents(spark):  # noqa: ANN001
     assert {(r.doc_id, r.item_id, r.covered, r.changed) for r in got} == {(5, 5, 1.0, False), (6, 6, 1.0, False), (7, 7, 1.0, False), (10, 6, 1.0, False)}
 
 
+def test_items_of_few_literal_words(spark):  # noqa: ANN001
+    texts = {1: "What Is The Capital City Of The United Kingdom Today", 2: "WHO WROTE THE NOVEL WAR AND PEACE IN RUSSIA", 3: "1 4 9 16 25 36 49 64 81 100 121", 4: "Who Painted The Mona Lisa", 5: "Which Large River Runs Through Old Vienna Town"}
+    bench = spark.createDataFrame(list(texts.items()), "item_id long, text string")
+    rows = [(k, f"People often ask: {t}, and then more words follow here.") for k, t in texts.items()]
+    rows += [(10, texts[1].replace(" The ", "\nThe ").replace("City Of", "City\nOf")), (11, "2 5 9 17 26 36 50 64 82 100 122"), (12, "We saw What Was The Second City In The Southern Province Today")]
+    got = {(r.doc_id, r.item_id, r.covered, r.changed) for r in decontaminate.leaks(documents(spark, rows), bench).collect()}
+    assert got == {(k, k, 1.0, False) for k in texts} | {(10, 1, 1.0, False)}
+
+
 def test_planted_passages_by_brute_force(spark):  # noqa: ANN001
     plain = lambda t: " " + " ".join(re.findall(r"\w+", t.lower())) + " "
     items = {r.item_id: plain(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
