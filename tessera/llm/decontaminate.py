@@ -4,7 +4,8 @@ Texts become sequences of words in which numbers, units after numbers and names
 inside a sentence) give way to typed placeholders. Windows of WINDOW placeholdered words of every
 benchmark item are hashed and joined with those of every document; a question with other numbers,
 names or units still meets its template. A hit must then be consistent in its slots: aligned at one
-offset, a value of the item stands for one value of the document and the other way round. A document
+offset, a value of the item stands for one value of the document and the other way round; windows that hold a
+clashing slot do not count, unless they are equal word for word. A document
 leaks an item if consistent windows cover at least SHARE of the item's windows, of all or of those
 with at least half literal words, or RUN of them. Windows with fewer literal words would meet too much
 as templates: they are met by their raw words, so that verbatim copies are found.
@@ -107,25 +108,39 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     seen = rows.select("doc_id", "text", F.inline(found))
     met = seen.join(F.broadcast(items) if items.count() <= BROADCAST_ROWS else items, ["verbatim", "size", "hash"])
     met = met.withColumn("doc_raw", F.slice(raw_words(F.col("text")), F.col("at") + 1, F.col("size")))
-    slot = F.zip_with(F.arrays_zip("item_typed", "item_raw"), "doc_raw", lambda a, d: F.struct(a["item_typed"].alias("kind"), a["item_raw"].alias("item"), d.alias("doc")))
+    slot = F.transform("item_typed", lambda t, k: F.struct(t.alias("kind"), F.get("item_raw", k).alias("item"), F.get("doc_raw", k).alias("doc"), (F.col("item_at") + k).alias("place")))
     met = met.withColumns({"cells": slot, "shift": F.col("at") - F.col("item_at"), "same": F.col("item_raw") == F.col("doc_raw")})
     exact = F.forall("cells", lambda c: c["kind"].isin(NUM, NAME, UNIT) | (c["item"] == c["doc"]))
     met = met.where(F.col("same") | (~F.col("verbatim") & exact))
     return met.select("doc_id", "item_id", "item_at", "shift", "n_windows", "n_literal", "literal", "same", F.filter("cells", lambda c: c["kind"].isin(NUM, NAME, UNIT)).alias("slots"))
 
 
+def consistent(met: DataFrame, keys: list[str]) -> DataFrame:
+    """The windows without a clashing slot. In an alignment, a value of the item stands for the value of
+    the document that most of its places show, and the other way round; other values clash, and all of
+    them where none shows most often. Windows of equal raw words always stay."""
+    pair = [*keys, "kind", "item", "doc"]
+    said = met.select(*keys, F.explode("slots").alias("s")).select(*keys, "s.*").distinct().groupBy(*pair).agg(F.count("*").alias("places"))
+
+    def leads(side: str) -> Column:
+        by = Window.partitionBy(*keys, "kind", side)
+        return F.rank().over(by.orderBy("places")) == F.count("*").over(by)
+
+    clash = said.withColumns({"_item": leads("item"), "_doc": leads("doc")}).where(~(F.col("_item") & F.col("_doc"))).select(*pair)
+    changed = met.where(~F.col("same"))
+    bad = changed.select(*keys, "item_at", F.explode("slots").alias("s")).select(*keys, "item_at", "s.kind", "s.item", "s.doc").join(clash, pair, "left_semi")
+    return met.where("same").unionByName(changed.join(bad, [*keys, "item_at"], "left_anti").select(*met.columns))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, covered, changed): documents that hold an item or a re-parameterised one."""
     met = cut(hits(docs, benchmark))
     keys = ["doc_id", "item_id", "shift"]
     literal = F.when(F.col("literal"), F.col("item_at"))
-    runs = met.groupBy(*keys).agg(F.count_distinct("item_at").alias("n"), F.count_distinct(literal).alias("k"), F.max("n_windows").alias("n_of"), F.max("n_literal").alias("k_of"))
+    runs = consistent(met, keys).groupBy(*keys).agg(F.count_distinct("item_at").alias("n"), F.count_distinct(literal).alias("k"), F.max("n_windows").alias("n_of"), F.max("n_literal").alias("k_of"), F.max(~F.col("same")).alias("changed"))
     runs = runs.withColumn("covered", F.greatest(F.col("n") / F.col("n_of"), F.when(F.col("k_of") > 0, F.col("k") / F.col("k_of"))))
-    said = met.select(*keys, F.explode("slots").alias("s")).select(*keys, "s.*").distinct()
-    said = said.groupBy(*keys).agg(F.count("*").alias("pairs"), F.count_distinct("kind", "item").alias("items"), F.count_distinct("kind", "doc").alias("docs"), F.max(F.col("item") != F.col("doc")).alias("changed"))
-    good = runs.join(said, keys, "left").where("pairs is null or pairs = items and pairs = docs")
-    good = good.where((F.col("covered") >= SHARE) | (F.col("n") >= RUN))
-    return good.groupBy("doc_id", "item_id").agg(F.max("covered").alias("covered"), F.min(F.coalesce("changed", F.lit(False))).alias("changed"))
+    good = runs.where((F.col("covered") >= SHARE) | (F.col("n") >= RUN))
+    return good.groupBy("doc_id", "item_id").agg(F.max("covered").alias("covered"), F.min("changed").alias("changed"))
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -188,6 +188,16 @@ def test_items_of_few_literal_words(spark):  # noqa: ANN001
     assert got == {(k, k, 1.0, False) for k in texts} | {(10, 1, 1.0, False)}
 
 
+def test_clashing_slots_leave_out_only_their_windows(spark):  # noqa: ANN001
+    middle = "walk along quiet green rivers under tall old trees where small brown birds sing loudly every single morning before breakfast"
+    item = f"there were 40 people who {middle} and then 12 of them met 15 others near the gate until 40 came back"
+    named = "now Tom sees red paint and Tom buys blue paint and Tom mixes both colours while Tom sings one song then Tom rests and Tom sleeps until Tom wakes and Tom leaves the old house"
+    bench = spark.createDataFrame([(1, item), (2, named), (3, "here 12 dogs chase 15 cats around town")], "item_id long, text string")
+    rows = [(1, item.replace("until 40", "until 41")), (2, item.replace("12", "20").replace("15", "20")), (3, named.replace("Tom", "Sam").replace("Sam leaves", "Tim leaves")), (4, "here 20 dogs chase 20 cats around town")]
+    got = {(r.doc_id, r.item_id, r.changed) for r in decontaminate.leaks(documents(spark, rows), bench).collect()}
+    assert {(d, i) for d, i, _ in got} == {(1, 1), (2, 1), (3, 2)} and (3, 2, True) in got
+
+
 def test_planted_passages_by_brute_force(spark):  # noqa: ANN001
     plain = lambda t: " " + " ".join(re.findall(r"\w+", t.lower())) + " "
     items = {r.item_id: plain(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
