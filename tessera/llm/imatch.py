@@ -1,13 +1,13 @@
 """I-Match fingerprints, in DataFrame functions only.
 
-Terms are counted over all documents; the lexicon keeps those whose inverse document frequency lies
+Terms are counted over all distinct texts, a text with copies once; the lexicon keeps those whose inverse document frequency lies
 in a band. A document's distinct lexicon terms are sorted and hashed, for the whole lexicon and for
 several randomised subsets of it: REPLICAS random draws, each nested in LEVELS halvings, so that long
 and short texts both have subsets that hold few of their terms. The fingerprint is the row of those
 hashes; the likeness of two is the share of equal ones among the subsets that hold a term of either.
 
-The band's lower document frequency, as a share of the documents, bounds the lexicon: at most
-(distinct terms a document) / MIN_SHARE terms reach it, however many documents there are. So its
+The band's lower document frequency, as a share of the distinct texts, bounds the lexicon: at most
+(distinct terms a text) / MIN_SHARE terms reach it, however many texts there are. So its
 hashes are looked up in a two-probe bit table of fixed size that goes with the plan; a term outside
 the band passes it by chance (under 1 in 100 at that bound), always or never for the same term.
 
@@ -42,14 +42,26 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(found, lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
-def lexicon(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Hashes of the terms in the band, over all documents."""
-    n = docs.count()
+def band(terms: DataFrame, n: int) -> DataFrame:
+    """Hashes of the terms in the band, from the arrays `terms` of n texts."""
     low, high = max(LEAST, MIN_SHARE * n), max(LEAST, MAX_SHARE * n)
-    counts = docs.select(F.explode(words(F.coalesce(F.col(text), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    counts = terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     return counts.where((F.col("df") >= low) & (F.col("df") <= high)).select("term")
 
 
+def lexicon(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Hashes of the terms in the band, over all rows."""
+    return band(docs.select(words(F.coalesce(F.col(text), F.lit(""))).alias("terms")), docs.count())
+
+
+def distinct_lexicon(docs: DataFrame) -> DataFrame:
+    """Hashes of the terms in the band, over distinct texts: copies do not push their own terms out.
+    Texts are told apart by hash and length; copies go before the shuffle, which moves terms, not texts."""
+    key = [F.xxhash64("text").alias("hash"), F.length("text").alias("n")]
+    n = docs.select(*key).distinct().count()
+    return band(docs.select(*key, words(F.col("text")).alias("terms")).groupBy("hash", "n").agg(F.first("terms").alias("terms")), n)
+
+
 def probe(term: Column, k: int) -> Column:
     return F.shiftrightunsigned(term, 32 * k).bitwiseAND(F.lit((1 << TABLE_BITS) - 1))
 
@@ -153,7 +165,7 @@ def beside_next(rows: DataFrame, columns: list[str], parts: int = PARTS) -> Data
 def fingerprints(docs: DataFrame) -> DataFrame:
     """The contract's columns for doc_id and text."""
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bits = F.lit(bit_table(lexicon(base)))
+    bits = F.lit(bit_table(distinct_lexicon(base)))
     marked = beside_next(base.withColumn("fp", fingerprint(F.col("text"), bits)), ["text", "fp"])
     n = F.length("text")
     keep = F.floor(n / 3).cast("int")

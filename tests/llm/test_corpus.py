@@ -154,6 +154,15 @@ def test_fingerprints_odd_rows(spark):  # noqa: ANN001
     assert imatch.fingerprints(documents(spark, rows).select("doc_id", "text")).count() == 5
 
 
+def test_copies_keep_their_terms(spark):  # noqa: ANN001
+    hot = ["amber basil cedar dune", "elm fern grove heath"]
+    rows = [(k, hot[k % 2] if k < 80 else f"word{k} {hot[k % 2].split()[k % 4] if k < 88 else ''} other{k // 2}") for k in range(120)]
+    got = {r.doc_id: r for r in imatch.fingerprints(documents(spark, rows).select("doc_id", "text")).collect()}
+    empty = "0" * len(got[0].fingerprint)
+    assert got[0].fingerprint == got[2].fingerprint != empty and got[1].fingerprint not in (empty, got[0].fingerprint)
+    assert got[2].near_next < 1.0
+
+
 ITEM = "A train leaves Boston at 40 km per hour and then meets Alice after 3 hours while 40 km remain to Paris for all passengers."
 
 
