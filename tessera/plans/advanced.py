@@ -47,6 +47,12 @@ def bag_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.bag_of_words(table(spark, sf_dir, "documents"), "doc_id", "text").where("doc_id < 200")
 
 
+@query()
+def bag_of_words_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; bag_of_words stays with the ids of its SQL."""
+    return text.bag_of_words(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @query(f"SELECT doc_id, token, {R('n / CAST(s AS DOUBLE) * ln((SELECT count(*) FROM documents)::DOUBLE / df)', 1e9)} AS weight FROM (SELECT doc_id, token, n, sum(n) OVER (PARTITION BY doc_id) AS s, count(*) OVER (PARTITION BY token) AS df FROM {BAG})")
 def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(text.tfidf(table(spark, sf_dir, "documents"), "doc_id", "text"), "weight", scale=1e9)
@@ -133,10 +139,19 @@ def embedding_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transformer.embed(docs, weights, "doc_id", "ids").select("doc_id", F.col("at").cast("bigint").alias("at"), "vector")
 
 
+@query()
+def embedding_lookup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents over all vectors; embedding_lookup stays with the ids of its SQL."""
+    weights = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("token"), F.col("embedding").alias("vector"))
+    n = F.broadcast(weights.agg((F.max("token") + 1).alias("n")))
+    docs = table(spark, sf_dir, "documents").join(n).select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.pmod(F.col("doc_id") * 7 + k, F.col("n"))).alias("ids"))
+    return transformer.embed(docs, weights, "doc_id", "ids").select("doc_id", F.col("at").cast("bigint").alias("at"), "vector")
+
+
 @query()
 def decoder_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = transformer.Decoder(50, 16, 2, 4, 32, seed=1)
-    prompts = table(spark, sf_dir, "documents").where("doc_id < 20").select("doc_id", F.array((F.col("doc_id") % 49 + 1).cast("int"), F.lit(3)).alias("prompt"))
+    prompts = table(spark, sf_dir, "documents").select("doc_id", F.array((F.col("doc_id") % 49 + 1).cast("int"), F.lit(3)).alias("prompt"))
     return transformer.generate(prompts, model, "prompt", 5)
 
 
