@@ -264,6 +264,30 @@ def knn_regress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.knn_regress(v.where("vec_id % 20 = 0"), v.where("vec_id % 20 <> 0").select(F.col("vec_id").alias("b"), "features", "label"), "vec_id", "b", "label"), "predicted", scale=1e6)
 
 
+def asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Queries (ids divisible by 20) and all rows as their base, the query row itself among them; the
+    queries above stay with the reduced base of their SQL."""
+    v = vectors(spark, sf_dir)
+    return v.where("vec_id % 20 = 0"), v.select(F.col("vec_id").alias("near_id"), "features", "label")
+
+
+@query()
+def nearest_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, base = asked(spark, sf_dir)
+    got = models.nearest(q.select("vec_id", "features"), base.drop("label"), "vec_id", "near_id", 5)
+    return rounded(got.select("vec_id", "near_id", "distance"), "distance", scale=1e6)
+
+
+@query()
+def knn_class_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.knn_class(*asked(spark, sf_dir), "vec_id", "near_id", "label")
+
+
+@query()
+def knn_regress_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(models.knn_regress(*asked(spark, sf_dir), "vec_id", "near_id", "label"), "predicted", scale=1e6)
+
+
 @query(f"SELECT a.vec_id AS a, b.vec_id AS b, {R('list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])', 1e6)} AS distance FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id")
 def pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.pairwise(vectors(spark, sf_dir), "vec_id"), "distance", scale=1e6)

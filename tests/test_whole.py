@@ -31,3 +31,16 @@ def test_documents(spark, folder):  # noqa: ANN001
     want = {(k, j): held[(k * 7 + j) % 110] for k, _ in DOCS for j in range(5) if (k * 7 + j) % 110 in held}
     assert {(r.doc_id, r.at): list(r.vector) for r in run("embedding_lookup_whole") if r.vector is not None} == want
     assert {r.doc_id for r in run("decoder_generate")} == {k for k, _ in DOCS}
+
+
+def test_neighbours(spark, folder):  # noqa: ANN001
+    want, labels = {}, {i: c for i, _, c in VECTORS}
+    for i, v, _ in VECTORS:
+        if i % 20 == 0:
+            want[i] = sorted((float(np.linalg.norm(np.subtract(v, w))), j) for j, w, _ in VECTORS)[:5]
+    got = registry.QUERIES["nearest_whole"](spark, folder).collect()
+    assert {(r.vec_id, r.near_id) for r in got} == {(i, j) for i, near in want.items() for _, j in near}
+    found = {r.vec_id: r.predicted for r in registry.QUERIES["knn_regress_whole"](spark, folder).collect()}
+    assert found == pytest.approx({i: np.mean([labels[j] for _, j in near]) for i, near in want.items()}, abs=1e-6)
+    votes = {i: Counter(labels[j] for _, j in near) for i, near in want.items()}
+    assert {r.vec_id: r.predicted for r in registry.QUERIES["knn_class_whole"](spark, folder).collect()} == {i: min(c, key=lambda x: (-c[x], x)) for i, c in votes.items()}
