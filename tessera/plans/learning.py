@@ -95,7 +95,7 @@ def wide(spark: SparkSession, sf_dir: str, n: int = 6) -> DataFrame:
 
 @query()
 def smote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prep.smote(wide(spark, sf_dir).where("label < 3"), [f"x{j}" for j in range(4)], "label", "vec_id")
+    return prep.smote(wide(spark, sf_dir), [f"x{j}" for j in range(4)], "label", "vec_id")
 
 
 @query()
@@ -345,8 +345,7 @@ def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small = vectors(spark, sf_dir).select("vec_id", F.slice("features", 1, 2).alias("features"))
-    return models.dbscan(small, "vec_id", 0.02, 4)
+    return models.dbscan(vectors(spark, sf_dir).select("vec_id", "features"), "vec_id", 0.02, 4)
 
 
 @query(f"SELECT {R('sum(v)', 1e6)} AS total_variance FROM (SELECT unnest([" + ", ".join(f"var_samp(x{j})" for j in range(6)) + f"]) AS v FROM {WIDE})")

@@ -103,6 +103,12 @@ def t_test_one_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tested(stats.t_test_one_sample(table(spark, sf_dir, "events").where("user_id = 1"), "value", 50.0))
 
 
+@query()
+def t_test_one_sample_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events; t_test_one_sample stays with the user of its SQL."""
+    return tested(stats.t_test_one_sample(table(spark, sf_dir, "events"), "value", 50.0))
+
+
 TWO = "SELECT count(value) FILTER (WHERE event_type = 'click')::DOUBLE AS n1, avg(value) FILTER (WHERE event_type = 'click') AS m1, var_samp(value) FILTER (WHERE event_type = 'click') AS v1, count(value) FILTER (WHERE event_type = 'view')::DOUBLE AS n2, avg(value) FILTER (WHERE event_type = 'view') AS m2, var_samp(value) FILTER (WHERE event_type = 'view') AS v2 FROM events"
 
 

@@ -84,6 +84,13 @@ def sort_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame.positions(top, [F.col("value").desc_nulls_last(), "event_type", "event_id"]).select("event_id", (F.col("pos") + 1).cast("bigint").alias("place"))
 
 
+@query()
+def sort_multi_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows; sort_multi stays with the first 500 of its SQL."""
+    placed = frame.positions(holes(spark, sf_dir), [F.col("value").desc_nulls_last(), "event_type", "event_id"])
+    return placed.select("event_id", (F.col("pos") + 1).cast("bigint").alias("place"))
+
+
 @query(f"SELECT event_id, CASE WHEN value IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY user_id ORDER BY value NULLS LAST, event_id) AS DOUBLE) END AS value_rank FROM ({HOLES})")
 def rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame.rank(holes(spark, sf_dir), "value", ["event_id"], partition_by=["user_id"]).select("event_id", "value_rank")

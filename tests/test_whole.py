@@ -44,3 +44,16 @@ def test_neighbours(spark, folder):  # noqa: ANN001
     assert found == pytest.approx({i: np.mean([labels[j] for _, j in near]) for i, near in want.items()}, abs=1e-6)
     votes = {i: Counter(labels[j] for _, j in near) for i, near in want.items()}
     assert {r.vec_id: r.predicted for r in registry.QUERIES["knn_class_whole"](spark, folder).collect()} == {i: min(c, key=lambda x: (-c[x], x)) for i, c in votes.items()}
+
+
+def test_tables_and_vectors(spark, folder):  # noqa: ANN001
+    run = lambda name: registry.QUERIES[name](spark, folder).collect()
+    x = np.array([e[3] for e in EVENTS])
+    t = run("t_test_one_sample_whole")[0]
+    assert t.df == len(x) - 1 and t.statistic == pytest.approx((x.mean() - 50) / (x.std(ddof=1) / len(x) ** 0.5), abs=1e-5)
+    order = sorted(EVENTS, key=lambda e: (e[0] % 7 == 0, 0 if e[0] % 7 == 0 else -e[3], e[2], e[0]))
+    assert {r.event_id: r.place for r in run("sort_multi_whole")} == {e[0]: k + 1 for k, e in enumerate(order)}
+    counts = Counter(r.label for r in run("smote"))
+    assert counts == {0: 12, 1: 21, 2: 11, 3: 21}
+    clusters = {r.vec_id: r.cluster for r in run("dbscan")}
+    assert clusters == {i: 0 if i in (0, 17, 34) else -1 if i < 100 else (i - 100) // 5 for i, _, _ in VECTORS}  # those three equal the first five copies
