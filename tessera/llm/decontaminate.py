@@ -1,118 +1,182 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Texts become sequences of words in which numbers, units after numbers and names (capitalised words
-inside a sentence) give way to typed placeholders. Windows of WINDOW placeholdered words of every
-benchmark item are hashed and joined with those of every document; a question with other numbers,
-names or units still meets its template. A hit must then be consistent in its slots: aligned at one
-offset, a value of the item stands for one value of the document and the other way round; windows that hold a
-clashing slot do not count, unless they are equal word for word. A document
-leaks an item if consistent windows cover at least SHARE of the item's windows, of all or of those
-with at least half literal words, or RUN of them. Windows with fewer literal words would meet too much
-as templates: they are met by their raw words, so that verbatim copies are found.
+Texts become sequences of tokens. A token is a number, a unit after a number, a name (a run of
+capitalised words, wherever it stands) or a word; the first three give way to typed placeholders.
+Whatever stands between tokens (blanks, line ends, tabs, quotes, brackets, hyphens, control
+characters) separates them and has no other meaning, but a mark of punctuation ends a name. Windows of
+WINDOW tokens of every benchmark item are hashed and joined with those of every document; a question
+with other numbers, names or units still meets its template. A hit must then be consistent in its
+slots: aligned at one offset, a value of the item stands for one value of the document and the other
+way round; windows that hold a clashing slot do not count, unless they are equal word for word.
+
+Beside the typed windows, all raw words of every item, in lower case, have windows too; these meet
+verbatim copies however they are capitalised, and items of names and numbers alone. Typed windows of
+which under half is literal would meet too much as templates and are left to the raw ones.
+
+A document leaks an item if consistent typed windows cover at least SHARE of the item's literal
+windows or RUN of them, or raw windows cover SHARE of all or RUN of them.
 
 The benchmark's window hashes go to every task as a broadcast only when their number is counted and
-within BROADCAST_ROWS; above it the join shuffles. Only documents with hits carry their words on.
-
-Defined results: null text counts as empty; words are runs of letters, digits and inner dots or
-commas between digits; items of under WINDOW words have one window of all their words, which meets
-document windows of that length, items of under SHORTEST words none (they would hit by chance); repeated items each report; rows without doc_id are
-clean and stay.
+within BROADCAST_ROWS; above it the join shuffles, with both sides salted, as one window may be in a
+third of all documents. Documents' windows travel as (row, place, hash); tokens are read again, once, for
+rows with a hit.
+
+Defined results: null text counts as empty; items of under WINDOW tokens have one window of all their
+tokens, which meets document windows of that length; an item of under SHORTEST raw words is leaked
+by the documents whose words are exactly the item's, as it would hit others by chance; items without
+words are leaked by none; repeated items and rows each report; rows without doc_id are clean and stay.
+Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import cut, table
 
-#: A run of RUN windows (13 words) is a leak as well, however long the item.
+#: A run of RUN windows (13 tokens) is a leak as well, however long the item.
 WINDOW, SHORTEST, SHARE, RUN = 8, 5, 0.5, 6
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, SALTS = 200_000, 16
 #: Units of measure that may follow a number.
 UNITS = (
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t ton tons oz lb lbs pound pounds ml l liter liters litre litres gal gallon gallons "
     "s sec second seconds min minute minutes h hour hours day days week weeks month months year years cent cents dollar dollars euro euros usd eur percent degrees watt watts volts joules newtons"
 ).split()
-#: Placeholders, as words that no text has after canonicalisation.
-NUM, NAME, UNIT = "0", "\u0001name", "\u0001unit"
-#: Patterns: a number; a unit after a number's placeholder; a capital inside a sentence; a word.
-NUMBER = r"\p{Nd}+(?:[.,]\p{Nd}+)*"
-AFTER_NUMBER = r"(?<= 0 ) ?(?i:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}_])"
-CAPITAL = r"(?=\p{Lu})(?<=[^.!?\n] )[\p{L}_]+"
-WORD = NUMBER + r"|[\p{L}_]+"
+#: Placeholders: private characters, which texts lose before they are typed.
+NUM, UNIT, NAME = "\ue000", "\ue001", "\ue002"
+PLACEHOLDERS = NUM + UNIT + NAME
+#: Patterns: a number; a unit, where a number stands before it; a run of capitalised words; a word.
+NUMBER = r"\p{Nd}+(?:[.,]\p{Nd}+)*+"
+GAP = r"[\s\p{Cc}\u00a0-]{0,3}"
+A_UNIT = "(?i:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}_])"
+CAPITAL = r"(?<![\p{L}_])\p{Lu}[\p{L}_]*"
+RUN_OF = rf"{CAPITAL}(?:[\s\p{{Cc}}'\u2019-]+{CAPITAL})*+"
+WORD = r"[\p{L}_]+"
 
 
 def plain(text: Column) -> Column:
-    """The text, null as empty; the one capital whose lower case is two characters gives way."""
-    return F.replace(F.coalesce(text, F.lit("")), F.lit("\u0130"), F.lit("I"))
+    """The text, null as empty, without placeholders; the one capital whose lower case is two characters gives way."""
+    return F.translate(F.coalesce(text, F.lit("")), PLACEHOLDERS + "\u0130", "   I")
+
+
+def typed_tokens(text: Column) -> Column:
+    """Tokens with placeholders for slots, lower case for the rest. Whole-text replacements, so no
+    function runs a token at a time."""
+    t = F.regexp_replace(text, rf"(?<!\p{{Nd}})(?<!\p{{Nd}}[.,]){NUMBER}{GAP}{A_UNIT}", f" {NUM} {UNIT} ")
+    t = F.regexp_replace(F.regexp_replace(t, NUMBER, f" {NUM} "), RUN_OF, f" {NAME} ")
+    return F.array_remove(F.split(F.lower(t), rf"[^\p{{L}}_{PLACEHOLDERS}]+"), "")
 
 
-def templated(text: Column) -> Column:
-    """Words of the template: placeholders for slots, lower case for the rest. Whole-text replacements,
-    so no function runs a word at a time."""
-    named = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, NUMBER, f" {NUM} "), AFTER_NUMBER, f" {UNIT}"), CAPITAL, NAME)
-    return F.array_remove(F.split(F.lower(named), "[^\\p{L}\\p{Nd}_\u0001]+"), "")
+def raw_tokens(text: Column) -> Column:
+    """What stands in the text for each typed token, in lower case; a name's words by one blank."""
+    found = F.regexp_extract_all(text, F.lit(rf"{NUMBER}|(?<=\p{{Nd}}{GAP}){A_UNIT}|{RUN_OF}|{WORD}"), F.lit(0))
+    return F.transform(found, lambda w: F.regexp_replace(F.lower(w), r"[\s\p{Cc}'\u2019-]+", " "))
 
 
 def raw_words(text: Column) -> Column:
-    """The words that stand at the template's places."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    """All words and numbers, in lower case, names not gathered."""
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{Nd}_]+"), "")
+
+
+def window_hashes(words: Column, sizes: list[int]) -> Column:
+    """(size, at, hash) of each window of the sizes. Each word is hashed once; hashes of 2, 4 and 8
+    words come from two hashes half as long, those of other sizes from the longest of these and the
+    words after it."""
+
+    def joined(a: Column, b: Column, by: int) -> Column:
+        """Hashes of a's windows, each followed by b's window `by` places on."""
+        return F.zip_with(a, F.slice(b, by + 1, F.greatest(F.size(b) - by, F.lit(0))), lambda x, y: F.xxhash64(x, y))
+
+    def rows(hashes: Column, size: int) -> Column:
+        """Windows that end within the text; those after them reach past it."""
+        whole = F.transform(hashes, lambda h, i: F.struct(F.lit(size).alias("size"), i.alias("at"), h.alias("hash")))
+        return F.slice(whole, 1, F.greatest(F.size(hashes) - (size - 1), F.lit(0)))
 
+    def level(one: Column, own: Column, size: int) -> Column:
+        """Rows of all sizes from `size` on; `own` are the hashes of windows of `size` words."""
+        out = [rows(own, size)] if size in sizes else []
+        for more in (s for s in sizes if size < s < 2 * size):
+            longer = own
+            for by in range(size, more):
+                longer = joined(longer, one, by)
+            out.append(rows(longer, more))
+        if max(sizes) >= 2 * size:
+            out.append(once(joined(own, own, size), lambda up: level(one, up, 2 * size)))
+        return F.concat(*out)
 
-def hashed(words: Column, start: Column, size: int = WINDOW) -> Column:
-    """Hash of `size` words from a place on; places past the end do not count."""
-    return F.xxhash64(*(F.get(words, start + k) for k in range(size)))
+    return once(F.transform(words, lambda w: F.xxhash64(w)), lambda one: level(one, one, 1))
 
 
-def starts(words: Column, size: int) -> Column:
-    """Places where windows of `size` words begin."""
-    n = F.size(words)
-    return F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value worked out once."""
+    return F.transform(F.array(value), lambda v: use(v))[0]
 
 
-def windows(words: Column, size: int, verbatim: bool) -> Column:
-    """Kind, size, place and hash of each window of `size` words."""
-    return F.transform(starts(words, size), lambda i: F.struct(F.lit(verbatim).alias("verbatim"), F.lit(size).alias("size"), i.alias("at"), hashed(words, i, size).alias("hash")))
+def found(typed: Column, raw: Column, sizes: dict[str, list[int]]) -> Column:
+    """(kind, size, at, hash) of the windows of a text: typed and raw ones of the sizes that the
+    benchmark has, and all words of a text that is as short as its shortest items."""
+    of = lambda kind, rows: F.transform(rows, lambda r: F.struct(F.lit(kind).alias("kind"), r["size"], r["at"], r["hash"]))
+    parts = [of(kind, window_hashes(words, sizes[kind])) for kind, words in (("typed", typed), ("raw", raw)) if sizes[kind]]
+    for size in sizes["whole"]:
+        parts.append(of("whole", F.when(F.size(raw) == size, window_hashes(raw, [size])).otherwise(F.array().cast("array<struct<size:int,at:int,hash:bigint>>"))))
+    return F.concat(*parts)
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """Windows of the benchmark: item, at, size, typed and raw words, whether at least half of them are
-    literal, the item's numbers of windows and of literal ones, and the hash to meet: of typed words if
-    literal, of raw words (verbatim) if not. An item of under WINDOW words is one window, met by raw
-    words as well, as its first capital is a name inside a sentence."""
+    """Windows of the benchmark: item, kind, size, item_at, hash, their tokens as typed and as raw
+    words, and how many windows of the kind the item has."""
     rows = benchmark.where(F.col("item_id").isNotNull()).select("item_id", plain(F.col("text")).alias("text")).distinct()
-    rows = rows.select("item_id", templated(F.col("text")).alias("typed"), raw_words(F.col("text")).alias("raw")).where(F.size("typed") >= SHORTEST)
-    part = lambda c: F.slice(c, F.col("item_at") + 1, F.lit(WINDOW))
-    places = F.sequence(F.lit(0), F.greatest(F.size("typed") - WINDOW, F.lit(0)))
-    cut_ = rows.select("item_id", "typed", "raw", F.explode(places).alias("item_at"))
-    cut_ = cut_.select("item_id", "item_at", part("typed").alias("item_typed"), part("raw").alias("item_raw"))
+    rows = rows.select("item_id", typed_tokens(F.col("text")).alias("typed"), raw_tokens(F.col("text")).alias("said"), raw_words(F.col("text")).alias("raw"))
+    rows = rows.where(F.size("raw") > 0)
+    sizes = list(range(1, WINDOW + 1))
+    own = lambda words: F.least(F.size(words), F.lit(WINDOW))
+    all_of = found(F.col("typed"), F.col("raw"), {"typed": sizes[SHORTEST - 1 :], "raw": sizes[SHORTEST - 1 :], "whole": sizes[: SHORTEST - 1]})
+    made = rows.select("*", F.inline(all_of)).where(F.col("size") == F.when(F.col("kind") == "typed", own("typed")).otherwise(own("raw")))
+    part = lambda c: F.slice(c, F.col("at") + 1, F.col("size"))
+    made = made.select("item_id", "kind", "size", F.col("at").alias("item_at"), "hash", part("typed").alias("item_typed"), F.when(F.col("kind") == "typed", part("said")).otherwise(part("raw")).alias("item_raw"))
     literal = F.size(F.filter("item_typed", lambda t: ~t.isin(NUM, NAME, UNIT)))
-    cut_ = cut_.withColumns({"literal": literal * 2 >= F.size("item_typed"), "size": F.size("item_typed")})
-    of = Window.partitionBy("item_id")
-    cut_ = cut_.withColumns({"n_windows": F.count("*").over(of), "n_literal": F.count_if("literal").over(of)})
-    ways = F.when(~F.col("literal"), F.array(F.lit(True))).when(F.col("size") < WINDOW, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
-    cut_ = cut_.withColumn("verbatim", F.explode(ways))
-    return cut_.withColumn("hash", F.when(F.col("verbatim"), hashed(F.col("item_raw"), F.lit(0))).otherwise(hashed(F.col("item_typed"), F.lit(0))))
-
-
-def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Windows of documents that meet a window of the benchmark, word for word outside the slots, or
-    word for word throughout."""
-    items = cut(item_windows(benchmark))
-    kinds = sorted((r["verbatim"], r["size"]) for r in items.select("verbatim", "size").distinct().collect()) or [(False, WINDOW)]
-    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", plain(F.col("text")).alias("text")).withColumn("typed", templated(F.col("text")))
-    if any(verbatim for verbatim, _ in kinds):
-        rows = rows.withColumn("raw", raw_words(F.col("text")))
-    found = F.concat(*(windows(F.col("raw" if verbatim else "typed"), n, verbatim) for verbatim, n in kinds))
-    seen = rows.select("doc_id", "text", F.inline(found))
-    met = seen.join(F.broadcast(items) if items.count() <= BROADCAST_ROWS else items, ["verbatim", "size", "hash"])
-    met = met.withColumn("doc_raw", F.slice(raw_words(F.col("text")), F.col("at") + 1, F.col("size")))
-    slot = F.transform("item_typed", lambda t, k: F.struct(t.alias("kind"), F.get("item_raw", k).alias("item"), F.get("doc_raw", k).alias("doc"), (F.col("item_at") + k).alias("place")))
-    met = met.withColumns({"cells": slot, "shift": F.col("at") - F.col("item_at"), "same": F.col("item_raw") == F.col("doc_raw")})
+    made = made.where((F.col("kind") != "typed") | (literal * 2 >= F.col("size")))
+    return made.withColumn("n_windows", F.count("*").over(Window.partitionBy("item_id", "kind")))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, hash of the text (rows may share a doc_id) and the text to type, of rows with an id."""
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("of_text"), plain(F.col("text")).alias("text"))
+
+
+ROW = ["doc_id", "of_text"]
+
+
+def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Windows of documents that meet a window of the benchmark: equal outside the slots (typed), or
+    throughout (raw, whole); what hashes make meet by chance is left out."""
+    sizes: dict[str, list[int]] = {"typed": [], "raw": [], "whole": []}
+    for r in items.select("kind", "size").distinct().orderBy("kind", "size").collect():
+        sizes[r["kind"]].append(r["size"])
+    if not any(sizes.values()):
+        sizes["raw"] = [WINDOW]
+    rows = keyed(docs)
+    seen = rows.select(*ROW, F.inline(found(typed_tokens(F.col("text")), raw_words(F.col("text")), sizes)))
+    keys = items.select("kind", "size", "hash", "item_id", "item_at")
+    if items.count() <= BROADCAST_ROWS:
+        met = seen.join(F.broadcast(keys), ["kind", "size", "hash"])
+    else:
+        salted = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = seen.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["kind", "size", "hash", "salt"])
+    met = cut(met.select(*ROW, "kind", "at", "item_id", "item_at").distinct())
+    words = rows.join(met.select(*ROW).distinct(), ROW, "left_semi").select(*ROW, raw_tokens(F.col("text")).alias("said"), raw_words(F.col("text")).alias("raw")).dropDuplicates(ROW)
+    near = met.join(words, ROW).join(items, ["item_id", "kind", "item_at"])
+    doc_raw = F.slice(F.when(F.col("kind") == "typed", F.col("said")).otherwise(F.col("raw")), F.col("at") + 1, F.col("size"))
+    near = near.select(*ROW, "item_id", "kind", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), "n_windows", "item_typed", "item_raw", doc_raw.alias("doc_raw"))
+    near = near.withColumn("same", F.col("item_raw") == F.col("doc_raw"))
+    cell = F.transform("item_typed", lambda t, k: F.struct(t.alias("kind"), F.get("item_raw", k).alias("item"), F.get("doc_raw", k).alias("doc"), (F.col("item_at") + k).alias("place")))
+    near = near.withColumn("cells", F.when(F.col("kind") == "typed", cell))
     exact = F.forall("cells", lambda c: c["kind"].isin(NUM, NAME, UNIT) | (c["item"] == c["doc"]))
-    met = met.where(F.col("same") | (~F.col("verbatim") & exact))
-    return met.select("doc_id", "item_id", "item_at", "shift", "n_windows", "n_literal", "literal", "same", F.filter("cells", lambda c: c["kind"].isin(NUM, NAME, UNIT)).alias("slots"))
+    near = near.where(F.col("same") | ((F.col("kind") == "typed") & exact))
+    return near.select(*ROW, "item_id", (F.col("kind") == "typed").alias("typed"), "item_at", "shift", "n_windows", "same", F.filter("cells", lambda c: c["kind"].isin(NUM, NAME, UNIT)).alias("slots"))
 
 
 def consistent(met: DataFrame, keys: list[str]) -> DataFrame:
@@ -126,29 +190,32 @@ def consistent(met: DataFrame, keys: list[str]) -> DataFrame:
         by = Window.partitionBy(*keys, "kind", side)
         return F.rank().over(by.orderBy("places")) == F.count("*").over(by)
 
-    clash = said.withColumns({"_item": leads("item"), "_doc": leads("doc")}).where(~(F.col("_item") & F.col("_doc"))).select(*pair)
+    clash = said.withColumns({"by_item": leads("item"), "by_doc": leads("doc")}).where(~(F.col("by_item") & F.col("by_doc"))).select(*pair)
     changed = met.where(~F.col("same"))
     bad = changed.select(*keys, "item_at", F.explode("slots").alias("s")).select(*keys, "item_at", "s.kind", "s.item", "s.doc").join(clash, pair, "left_semi")
     return met.where("same").unionByName(changed.join(bad, [*keys, "item_at"], "left_anti").select(*met.columns))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, covered, changed): documents that hold an item or a re-parameterised one."""
-    met = cut(hits(docs, benchmark))
-    keys = ["doc_id", "item_id", "shift"]
-    literal = F.when(F.col("literal"), F.col("item_at"))
-    runs = consistent(met, keys).groupBy(*keys).agg(F.count_distinct("item_at").alias("n"), F.count_distinct(literal).alias("k"), F.max("n_windows").alias("n_of"), F.max("n_literal").alias("k_of"), F.max(~F.col("same")).alias("changed"))
-    runs = runs.withColumn("covered", F.greatest(F.col("n") / F.col("n_of"), F.when(F.col("k_of") > 0, F.col("k") / F.col("k_of"))))
-    good = runs.where((F.col("covered") >= SHARE) | (F.col("n") >= RUN))
-    return good.groupBy("doc_id", "item_id").agg(F.max("covered").alias("covered"), F.min("changed").alias("changed"))
+    """(doc_id, of_text, item_id, covered, changed): documents that hold an item, or one with other
+    numbers, names or units (changed). of_text is the hash of the document's text."""
+    met = cut(hits(docs, cut(item_windows(benchmark))))
+    keys = [*ROW, "item_id", "shift"]
+    held = consistent(met.where("typed"), keys).unionByName(met.where("not typed"))
+    runs = held.groupBy(*keys, "typed").agg(F.count_distinct("item_at").alias("n"), F.max("n_windows").alias("of"))
+    good = runs.where((F.col("n") / F.col("of") >= SHARE) | (F.col("n") >= RUN))
+    return good.groupBy(*ROW, "item_id").agg(F.max(F.col("n") / F.col("of")).alias("covered"), F.min("typed").alias("changed"))
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each document and item that it leaks; documents without a row are clean."""
-    return leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    """A row for each document: whether it leaks, the items, the largest share of one that is covered."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    by_row = leaks(docs, table(spark, sf_dir, "benchmark")).groupBy(*ROW).agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("covered").alias("covered"))
+    joined = docs.select("doc_id", F.xxhash64("text").alias("of_text")).join(by_row, ROW, "left")
+    return joined.select("doc_id", F.col("item_ids").isNotNull().alias("leaked"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("covered", F.lit(0.0)).alias("covered"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that leak an item go."""
-    found = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    bad = leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leaked_id"), F.col("of_text").alias("leaked_text")).distinct()
+    return docs.join(bad, (docs["doc_id"] == bad["leaked_id"]) & (F.xxhash64(docs["text"]) == bad["leaked_text"]), "left_anti").select(*docs.columns)
