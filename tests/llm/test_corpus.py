@@ -74,6 +74,8 @@ def test_small_blocks_lose_no_link(spark, monkeypatch):  # noqa: ANN001
     base = [word(rng) for _ in range(80)]
     texts = {i: " ".join(base[: 40 + i % 3] + [word(rng)] + base[42 + i % 3 :]) for i in range(60)}
     links, roots = brute_links(texts)
+    texts |= {100 + i: " ".join(base[:20] + [word(rng) for _ in range(20)]) for i in range(20)}
+    links, roots = brute_links(texts)
     monkeypatch.setattr(neardup, "BLOCK_ROWS", 7)
     got = {r.doc_id: r for r in neardup.groups(documents(spark, list(texts.items()))).collect()}
     assert {i: got[i].n_links for i in texts} == {i: links[i] for i in texts} and sum(links.values()) > 1000
@@ -98,6 +100,54 @@ def test_prefix_depth_reaches_the_recall():
     assert 1 - (1 - 0.8**d) ** neardup.TREES >= neardup.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** neardup.TREES
 
 
+def prefix_sharers(rows: list[tuple[int, list[int]]], depth: int) -> set[tuple[int, int]]:
+    """Pairs that share the first `depth` 16-bit values of some tree, by all pairs."""
+    values = {i: np.array(label, dtype=">i8").view(">u2").reshape(neardup.TREES, neardup.LABEL) for i, label in rows}
+    return {(a, b) for a in values for b in values if a < b and (values[a][:, :depth] == values[b][:, :depth]).all(axis=1).any()}
+
+
+def test_tries_by_brute_force(spark):  # noqa: ANN001
+    texts = corpus(8, groups=25)
+    rows = [(i, neardup.labels(neardup.shingles(t)).tolist()) for i, t in texts.items() if t]
+    classes = spark.createDataFrame(rows, "doc_id long, label array<long>")
+    found = neardup.branches(classes)
+    for depth in range(neardup.SHORTEST, neardup.LABEL + 1):
+        held = defaultdict(set)
+        for r in neardup.at_depth(found, depth).collect():
+            held[r.node].add(r.doc_id)
+        assert {(a, b) for x in held.values() for a in x for b in x if a < b} == prefix_sharers(rows, depth)
+    want = prefix_sharers(rows, neardup.START)
+    short = {r.doc_id: r.depth for r in neardup.depths(classes, spark.createDataFrame([(b, a) for a, b in want], "a long, b long")).collect()}
+    for i in texts:  # by definition: neighbours' estimated similarities give the recall at each depth
+        values = {k: np.array(label).view(np.uint16) for k, label in rows}
+        s = np.array([(values[a] == values[b]).mean() for a, b in want if i in (a, b)])
+        s = s[s >= neardup.EVIDENCE]
+        good = [d for d in range(neardup.START, neardup.SHORTEST, -1) if not len(s) or len(s) / (1 / (1 - (1 - s**d) ** neardup.TREES)).sum() >= neardup.TARGET]
+        assert short.get(i, neardup.START) == (max(good) if good else neardup.SHORTEST)
+    assert short
+    wide = defaultdict(set)
+    for r in neardup.nodes(classes).collect():
+        wide[r.node].add(r.doc_id)
+    pairs = {(a, b) for x in wide.values() for a in x for b in x if a < b}
+    depth_of = lambda i: short.get(i, neardup.START)
+    reach = {d: prefix_sharers(rows, d) for d in range(neardup.SHORTEST, neardup.START + 1)}
+    assert pairs >= {(a, b) for a in texts for b in texts if a < b and (a, b) in reach[min(depth_of(a), depth_of(b))]}
+
+
+def test_recall_by_brute_force(spark):  # noqa: ANN001
+    rng, texts = random.Random(11), {}
+    for _ in range(150):
+        base = [word(rng) for _ in range(rng.randint(60, 120))]
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(len(copy))] = word(rng)
+            texts[len(texts)] = " ".join(copy)
+    links, _ = brute_links(texts)
+    got = {r.doc_id: r.n_links for r in neardup.groups(documents(spark, list(texts.items()))).collect()}
+    assert all(got[i] <= links[i] for i in texts) and sum(got.values()) >= 0.999 * sum(links.values()) > 500
+
+
 def test_components_of_a_long_chain(spark):  # noqa: ANN001
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.root for r in neardup.components(edges).collect()}
