@@ -7,21 +7,26 @@ and short texts both have subsets that hold few of their terms. The fingerprint
 hashes; the likeness of two is the share of equal ones among the subsets that hold a term of either.
 
 The band's lower document frequency, as a share of the distinct texts, bounds the lexicon: at most
-(distinct terms a text) / MIN_SHARE terms reach it, however many texts there are. So its
-hashes are looked up in a two-probe bit table of fixed size that goes with the plan; a term outside
-the band passes it by chance (under 1 in 100 at that bound), always or never for the same term.
+(distinct terms a text) / MIN_SHARE terms reach it, however many texts there are. So the hashes of
+its terms go with the plan, as one table of 2^CELLS cells, each a text of the hashes that begin alike;
+a term is in the lexicon if its cell holds its hash, and no other term passes.
 
 The edited text of the contract takes text of the next document by descending doc_id. Ids are dealt
-by their quantiles, neighbours then stand in one window, and the first row of each part is also dealt
-to the part before; no window spans all rows.
+by their quantiles, and again by quantiles within those, in as many parts as the rows need at PART_ROWS
+each; neighbours then stand in one window, and the first row of each part is also dealt to the part
+before; no window spans all rows.
 
 Defined results: terms are runs of letters and digits in lower case; null text counts as empty; a text
 without lexicon terms has the fingerprint of the empty set, like only to itself (1 or 0); rows without
-an id come last; rows that share an id are ordered by text; the only row of a table is its own next.
+an id come last; rows that share an id are ordered by text; the only row of a table is its own next;
+an empty table gives none. Whole texts are read, however long. Other columns, whatever their names, are
+not read.
 """
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,10 +35,8 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import table
 
 MIN_SHARE, MAX_SHARE, LEAST = 0.0005, 0.1, 2
-REPLICAS, LEVELS = 4, 10
-TABLE_BITS = 22
-PARTS = 32
-BITS_A_BYTE = 6
+REPLICAS, LEVELS = 6, 10
+CELLS, PART_ROWS, SIDE = 16, 1000, 1000
 
 
 def words(text: Column) -> Column:
@@ -62,35 +65,33 @@ def distinct_lexicon(docs: DataFrame) -> DataFrame:
     return band(docs.select(*key, words(F.col("text")).alias("terms")).groupBy("hash", "n").agg(F.first("terms").alias("terms")), n)
 
 
-def probe(term: Column, k: int) -> Column:
-    return F.shiftrightunsigned(term, 32 * k).bitwiseAND(F.lit((1 << TABLE_BITS) - 1))
+def spelled_term(term: Column) -> Column:
+    """A term's hash as 16 characters: its sign bit is set, so none is shorter."""
+    return F.hex(term.bitwiseOR(F.lit(-(1 << 63))))
 
 
-def bit_table(terms: DataFrame) -> bytes:
-    """The lexicon as a table of 2^TABLE_BITS bits, BITS_A_BYTE in each byte. Its set bytes are summed
-    up by executors; the driver lays them out."""
-    bit = F.explode(F.array(probe(F.col("term"), 0), probe(F.col("term"), 1))).alias("bit")
-    cell = (F.col("bit") / BITS_A_BYTE).cast("int").alias("cell")
-    held = terms.select(bit).groupBy(cell).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("bit") % BITS_A_BYTE).cast("int"))).alias("set"))
-    out = bytearray(b"\x00") * ((1 << TABLE_BITS) // BITS_A_BYTE + 1)
-    for row in held.toLocalIterator():
-        out[row["cell"]] = row["set"]
-    return bytes(out)
+def cell(term: Column) -> Column:
+    """The cell of a term: the CELLS bits after the sign bit."""
+    return F.shiftright(term, 63 - CELLS).bitwiseAND(F.lit((1 << CELLS) - 1)).cast("int")
 
 
-def within(term: Column, bits: Column) -> Column:
-    """Whether both probes of a term's hash are set."""
+def term_table(terms: DataFrame) -> Column:
+    """The lexicon as an array of 2^CELLS texts, the hashes of each cell in a row. Executors write the
+    cells, the driver puts them in order; Spark splits the one text when it plans."""
+    held = terms.groupBy(cell(F.col("term")).alias("cell")).agg(F.array_join(F.array_sort(F.collect_list(spelled_term(F.col("term")))), "").alias("hashes"))
+    out = [""] * (1 << CELLS)
+    for row in held.toLocalIterator():
+        out[row["cell"]] = row["hashes"]
+    return F.split(F.lit(",".join(out)), ",")
 
-    def is_set(k: int) -> Column:
-        at = probe(term, k).cast("int")
-        cell = F.ascii(F.substr(bits, (at / BITS_A_BYTE).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.getbit(cell, at % BITS_A_BYTE) == 1
 
-    return is_set(0) & is_set(1)
+def within(term: Column, table_: Column) -> Column:
+    """Whether a term's cell holds its hash."""
+    return F.contains(F.get(table_, cell(term)), spelled_term(term))
 
 
-def band_terms(text: Column, bits: Column) -> Column:
-    return F.array_sort(F.filter(words(text), lambda t: within(t, bits)))
+def band_terms(text: Column, table_: Column) -> Column:
+    return F.array_sort(F.filter(words(text), lambda t: within(t, table_)))
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -111,14 +112,14 @@ def subset_hashes(terms: Column) -> Column:
     def below(a: Column, replica: int, level: int) -> Column:
         if level + 1 == LEVELS:
             return F.array(hashed(a))
-        return F.concat(F.array(hashed(a)), once(halved(a, 16 * replica + level + 1), lambda b: below(b, replica, level + 1)))
+        return F.concat(F.array(hashed(a)), once(halved(a, LEVELS * replica + level + 1), lambda b: below(b, replica, level + 1)))
 
-    return F.concat(F.array(hashed(terms)), *(once(halved(terms, 16 * r), lambda b: below(b, r, 0)) for r in range(REPLICAS)))
+    return F.concat(F.array(hashed(terms)), *(once(halved(terms, LEVELS * r), lambda b: below(b, r, 0)) for r in range(REPLICAS)))
 
 
-def fingerprint(text: Column, bits: Column) -> Column:
+def fingerprint(text: Column, table_: Column) -> Column:
     """Row of subset hashes of a text; the sorted terms are worked out once."""
-    return once(band_terms(text, bits), subset_hashes)
+    return once(band_terms(text, table_), subset_hashes)
 
 
 def spelled(hashes: Column) -> Column:
@@ -134,44 +135,62 @@ def likeness(a: Column, b: Column) -> Column:
     return F.aggregate(pairs, state, add, done)
 
 
-def beside_next(rows: DataFrame, columns: list[str], parts: int = PARTS) -> DataFrame:
+def literal(values: list, kind: str) -> Column:
+    """A list as one literal, read when Spark plans."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def quantiles(ids: DataFrame, side: int) -> list[list[int]]:
+    """Bounds of `_id` in up to `side` parts; then, for each of these, its bounds in up to `side` again."""
+    if side == 1:
+        return [[], []]
+    split = F.percentile_approx("_id", [k / side for k in range(1, side)], 20_000)
+    outer = sorted(set(ids.agg(split).first()[0] or []))
+    part = below(literal(outer, "array<bigint>"), F.col("_id")).alias("part")
+    inner = {r["part"]: sorted(set(r["at"])) for r in ids.groupBy(part).agg(split.alias("at")).toLocalIterator()}
+    return [outer, *(inner.get(k, []) for k in range(len(outer) + 1))]
+
+
+def below(bounds: Column, value: Column) -> Column:
+    """How many bounds are not above a value."""
+    return F.size(F.filter(bounds, lambda b: b <= value))
+
+
+def beside_next(rows: DataFrame, columns: list[str], part_rows: int = PART_ROWS) -> DataFrame:
     """`rows` with next_<c> of the row that follows by descending doc_id; the first follows the last.
-    Parts hold ids between two quantiles, in two steps of `parts` each, so that none is large."""
-    smallest = -(1 << 63)
-    keyed = rows.withColumn("_id", F.coalesce("doc_id", F.lit(smallest)))
-    shares = [k / (parts * parts) for k in range(1, parts * parts)]
-    bounds = sorted(set(keyed.agg(F.percentile_approx("_id", shares, 20_000)).first()[0] or []))
-    outer = bounds[parts - 1 :: parts]
-    inner = [bounds[k : k + parts - 1] for k in range(0, len(bounds) + 1, parts)]
-    at = lambda bound, col: F.size(F.filter(bound, lambda b: b <= col))
-    literal = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<bigint>")
-    first = at(literal(outer), F.col("_id"))
-    table_ = F.array(*(literal(x) for x in inner))
-    keyed = keyed.withColumn("_part", first * parts + at(F.element_at(table_, first + 1), F.col("_id")))
-    tops = keyed.groupBy("_part").agg(F.max("_id").alias("top")).orderBy(F.desc("_part")).collect()
+    Parts hold ids between two quantiles, in two steps of up to SIDE, so that none is large: about
+    `part_rows` rows, and from SIDE * SIDE * `part_rows` rows on the SIDE^2-th part of all."""
+    keyed = rows.withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    ids = keyed.select("_id")
+    side = max(1, min(SIDE, math.ceil(math.sqrt(ids.count() / part_rows))))
+    outer, *inner = quantiles(ids, side)
+    first = below(literal(outer, "array<bigint>"), F.col("_id"))
+    keyed = keyed.withColumn("_part", first * side + below(F.get(literal(inner, "array<array<bigint>>"), first), F.col("_id")))
+    tops = [(r["_part"], r["top"]) for r in keyed.groupBy("_part").agg(F.max("_id").alias("top")).orderBy(F.desc("_part")).toLocalIterator()]
     if not tops:
-        return keyed.select(*rows.columns, *(F.col(c).alias(f"next_{c}") for c in columns))
-    given = {}
-    for k, row in enumerate(tops):  # the top rows of a part follow the last row of the part above it
-        given.setdefault(row["top"], []).append(tops[k - 1]["_part"])
-    lookup = F.map_from_arrays(literal(list(given)), F.array(*(literal(to).cast("array<int>") for to in given.values())))
-    homes = F.concat(F.array(F.struct(F.col("_part"), F.lit(0).alias("guest"))), F.transform(F.coalesce(F.element_at(lookup, F.col("_id")), F.array().cast("array<int>")), lambda p: F.struct(p.alias("_part"), F.lit(1).alias("guest"))))
-    dealt = keyed.select(*rows.columns, "_id", F.explode(homes).alias("_home")).select(*rows.columns, "_id", "_home._part", "_home.guest")
-    w = Window.partitionBy("_part").orderBy("guest", F.desc("_id"), *(F.col(c) for c in columns[:1]))
+        return rows.select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
+    # the top rows of a part follow the last row of the part above it; those of the highest follow the lowest
+    top, above = [None] * (side * side + 1), [None] * (side * side + 1)
+    for k, (part, highest) in enumerate(tops):
+        top[part], above[part] = highest, tops[k - 1][0]
+    is_top = F.get(literal(top, "array<bigint>"), F.col("_part")) == F.col("_id")
+    home, guest = F.struct(F.col("_part").alias("part"), F.lit(0).alias("guest")), F.struct(F.get(literal(above, "array<int>"), F.col("_part")).alias("part"), F.lit(1).alias("guest"))
+    dealt = keyed.withColumn("_home", F.explode(F.when(is_top, F.array(home, guest)).otherwise(F.array(home))))
+    w = Window.partitionBy("_home.part").orderBy("_home.guest", F.desc("_id"), *(F.col(c) for c in columns[:1]))
     nexts = [F.lead(c).over(w).alias(f"next_{c}") for c in columns]
-    return dealt.select(*rows.columns, "guest", *nexts).where("guest = 0").drop("guest")
+    return dealt.select(*rows.columns, F.col("_home.guest").alias("_guest"), *nexts).where("_guest = 0").drop("_guest")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """The contract's columns for doc_id and text."""
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bits = F.lit(bit_table(distinct_lexicon(base)))
-    marked = beside_next(base.withColumn("fp", fingerprint(F.col("text"), bits)), ["text", "fp"])
+    table_ = term_table(distinct_lexicon(base))
+    marked = beside_next(base.withColumn("fp", fingerprint(F.col("text"), table_)), ["text", "fp"])
     n = F.length("text")
     keep = F.floor(n / 3).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - keep), F.substr("next_text", F.lit(1), keep))
     marked = marked.select("doc_id", n.cast("bigint").alias("n_chars"), "fp", "next_fp", edited.alias("edited"))
-    marked = marked.withColumn("edited_fp", fingerprint(F.col("edited"), bits))
+    marked = marked.withColumn("edited_fp", fingerprint(F.col("edited"), table_))
     return marked.select(
         "doc_id",
         "n_chars",

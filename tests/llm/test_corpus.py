@@ -190,12 +190,59 @@ def test_fingerprints_by_definition(spark):  # noqa: ANN001
             df[w] += 1
     hashes = {w: spark.range(1).select(F.xxhash64(F.lit(w))).first()[0] for w in df}
     assert inside == {hashes[w] for w, n in df.items() if max(2, 0.0005 * 120) <= n <= max(2, 0.1 * 120)}
-    bits = F.lit(imatch.bit_table(imatch.lexicon(docs)))
-    kept = docs.select("doc_id", imatch.band_terms(F.col("text"), bits).alias("t")).collect()
+    kept = docs.select("doc_id", imatch.band_terms(F.col("text"), imatch.term_table(imatch.lexicon(docs))).alias("t")).collect()
     for r in kept:
         assert list(r.t) == sorted(hashes[w] for w in set(dict(rows)[r.doc_id].split()) if hashes[w] in inside)
 
 
+def test_fingerprints_and_likenesses_by_brute_force(spark, monkeypatch):  # noqa: ANN001
+    monkeypatch.setattr(imatch, "PART_ROWS", 10)
+    rng = random.Random(9)
+    vocab = [word(rng) for _ in range(400)]
+    rows = [(3 * k, " ".join(rng.choices(vocab, k=rng.randint(0, 50)))) for k in range(150)] + [(450, None)]
+    got = {r.doc_id: r for r in imatch.fingerprints(documents(spark, rows).select("doc_id", "text")).collect()}
+    edited = brute_edited(rows)
+    df = defaultdict(int)
+    for t in {t or "" for _, t in rows}:
+        for w in set(t.split()):
+            df[w] += 1
+    n = len({t or "" for _, t in rows})
+    words = sorted({w for t in [*(t or "" for _, t in rows), *edited.values()] for w in t.split()})
+    hashes = {r.w: r.h for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    inside = {w for w, k in df.items() if max(2, imatch.MIN_SHARE * n) <= k <= max(2, imatch.MAX_SHARE * n)}
+    subsets = {}
+
+    def of(text: str) -> list[tuple]:
+        terms = sorted(hashes[w] for w in set(text.split()) if w in inside)
+        out = [tuple(terms)]
+        for r in range(imatch.REPLICAS):
+            part = [t for t in terms if not t >> (imatch.LEVELS * r) & 1]
+            for level in range(imatch.LEVELS):
+                out.append(tuple(part))
+                part = [t for t in part if not t >> (imatch.LEVELS * r + level + 1) & 1]
+        for p in out:
+            subsets.setdefault(p, None)
+        return out
+
+    ordered = sorted(rows, key=lambda r: -r[0])
+    prints = {i: (of(t or ""), of(edited[i])) for i, t in rows}
+    for k, p in enumerate(list(subsets)):
+        subsets[p] = p
+    spelled = {r.k: r.h for r in spark.createDataFrame([(k, list(p)) for k, p in enumerate(subsets)], "k int, t array<long>").select("k", F.when(F.size("t") > 0, F.hash("t")).otherwise(0).alias("h")).collect()}
+    number = {p: spelled[k] for k, p in enumerate(subsets)}
+
+    def alike(a: list[tuple], b: list[tuple]) -> float:
+        held = [(x, y) for x, y in zip(a, b) if x or y]
+        return sum(x == y for x, y in held) / len(held) if held else 1.0
+
+    for k, (i, _) in enumerate(ordered):
+        own, new = prints[i]
+        assert got[i].fingerprint == "".join(f"{number[p] & 0xFFFFFFFF:08x}" for p in own)
+        assert got[i].edited_fingerprint == "".join(f"{number[p] & 0xFFFFFFFF:08x}" for p in new)
+        assert abs(got[i].near_edited - alike(own, new)) < 1e-12
+        assert abs(got[i].near_next - alike(own, prints[ordered[(k + 1) % len(ordered)][0]][0])) < 1e-12
+
+
 def test_fingerprints_odd_rows(spark):  # noqa: ANN001
     one = imatch.fingerprints(documents(spark, [(9, "only text here")]).select("doc_id", "text")).first()
     assert one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(b"only text only").hexdigest()
