@@ -31,6 +31,7 @@ Other columns, whatever their names, are not read.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -52,7 +53,7 @@ PLACEHOLDERS = NUM + UNIT + NAME
 NUMBER = r"\p{Nd}+(?:[.,]\p{Nd}+)*+"
 GAP = r"[\s\p{Cc}\u00a0-]{0,3}"
 A_UNIT = "(?i:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}_])"
-CAPITAL = r"(?<![\p{L}_])\p{Lu}[\p{L}_]*"
+CAPITAL = r"\p{Lu}(?<![\p{L}_]\p{Lu})[\p{L}_]*"
 RUN_OF = rf"{CAPITAL}(?:[\s\p{{Cc}}'\u2019-]+{CAPITAL})*+"
 WORD = r"[\p{L}_]+"
 
@@ -65,8 +66,8 @@ def plain(text: Column) -> Column:
 def typed_tokens(text: Column) -> Column:
     """Tokens with placeholders for slots, lower case for the rest. Whole-text replacements, so no
     function runs a token at a time."""
-    t = F.regexp_replace(text, rf"(?<!\p{{Nd}})(?<!\p{{Nd}}[.,]){NUMBER}{GAP}{A_UNIT}", f" {NUM} {UNIT} ")
-    t = F.regexp_replace(F.regexp_replace(t, NUMBER, f" {NUM} "), RUN_OF, f" {NAME} ")
+    t = F.regexp_replace(F.regexp_replace(text, NUMBER, f" {NUM} "), f"{NUM} {GAP}{A_UNIT}", f"{NUM} {UNIT} ")
+    t = F.regexp_replace(t, RUN_OF, f" {NAME} ")
     return F.array_remove(F.split(F.lower(t), rf"[^\p{{L}}_{PLACEHOLDERS}]+"), "")
 
 
@@ -81,33 +82,31 @@ def raw_words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{Nd}_]+"), "")
 
 
-def window_hashes(words: Column, sizes: list[int]) -> Column:
-    """(size, at, hash) of each window of the sizes. Each word is hashed once; hashes of 2, 4 and 8
-    words come from two hashes half as long, those of other sizes from the longest of these and the
-    words after it."""
+def window_hashes(words: Column, sizes: list[int], kind: str) -> Column:
+    """Hashes of the windows of each size in turn. Each word is hashed once, with the kind; hashes of
+    2, 4 and 8 words come from two hashes half as long, those of other sizes from the longest of these
+    and the words after it. So no hash serves two kinds or sizes, but by chance."""
 
     def joined(a: Column, b: Column, by: int) -> Column:
-        """Hashes of a's windows, each followed by b's window `by` places on."""
-        return F.zip_with(a, F.slice(b, by + 1, F.greatest(F.size(b) - by, F.lit(0))), lambda x, y: F.xxhash64(x, y))
+        """Hashes of a's windows, each followed by b's window `by` places on, as far as there is one."""
+        return F.zip_with(F.slice(a, 1, left(b, by)), F.slice(b, by + 1, left(b, by)), lambda x, y: F.xxhash64(x, y))
 
-    def rows(hashes: Column, size: int) -> Column:
-        """Windows that end within the text; those after them reach past it."""
-        whole = F.transform(hashes, lambda h, i: F.struct(F.lit(size).alias("size"), i.alias("at"), h.alias("hash")))
-        return F.slice(whole, 1, F.greatest(F.size(hashes) - (size - 1), F.lit(0)))
+    def left(a: Column, by: int) -> Column:
+        return F.greatest(F.size(a) - by, F.lit(0))
 
     def level(one: Column, own: Column, size: int) -> Column:
-        """Rows of all sizes from `size` on; `own` are the hashes of windows of `size` words."""
-        out = [rows(own, size)] if size in sizes else []
+        """Those of all sizes from `size` on; `own` are the hashes of windows of `size` words."""
+        out = [own] if size in sizes else []
         for more in (s for s in sizes if size < s < 2 * size):
             longer = own
             for by in range(size, more):
                 longer = joined(longer, one, by)
-            out.append(rows(longer, more))
+            out.append(longer)
         if max(sizes) >= 2 * size:
             out.append(once(joined(own, own, size), lambda up: level(one, up, 2 * size)))
-        return F.concat(*out)
+        return out[0] if len(out) == 1 else F.concat(*out)
 
-    return once(F.transform(words, lambda w: F.xxhash64(w)), lambda one: level(one, one, 1))
+    return once(F.transform(words, lambda w: F.xxhash64(w, F.lit(kind))), lambda one: level(one, one, 1))
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -115,31 +114,47 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), lambda v: use(v))[0]
 
 
-def found(typed: Column, raw: Column, sizes: dict[str, list[int]]) -> Column:
-    """(kind, size, at, hash) of the windows of a text: typed and raw ones of the sizes that the
-    benchmark has, and all words of a text that is as short as its shortest items."""
-    of = lambda kind, rows: F.transform(rows, lambda r: F.struct(F.lit(kind).alias("kind"), r["size"], r["at"], r["hash"]))
-    parts = [of(kind, window_hashes(words, sizes[kind])) for kind, words in (("typed", typed), ("raw", raw)) if sizes[kind]]
+def found(sizes: dict[str, list[int]]) -> Column:
+    """Hashes of the windows of a text with columns typed and raw: typed and raw ones of the sizes that
+    the benchmark has, and all words of a text that is as short as its shortest items."""
+    parts = [window_hashes(F.col(kind), sizes[kind], kind) for kind in ("typed", "raw") if sizes[kind]]
     for size in sizes["whole"]:
-        parts.append(of("whole", F.when(F.size(raw) == size, window_hashes(raw, [size])).otherwise(F.array().cast("array<struct<size:int,at:int,hash:bigint>>"))))
-    return F.concat(*parts)
+        parts.append(F.when(F.size("raw") == size, window_hashes(F.col("raw"), [size], "whole")).otherwise(F.array().cast("array<bigint>")))
+    return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
-def item_windows(benchmark: DataFrame) -> DataFrame:
-    """Windows of the benchmark: item, kind, size, item_at, hash, their tokens as typed and as raw
-    words, and how many windows of the kind the item has."""
+def place(sizes: dict[str, list[int]]) -> Column:
+    """The word at which a window begins, from its position `pos` among the text's hashes, its kind and
+    size, and the text's numbers of tokens n_typed and n_raw."""
+    before, at = F.lit(0), F.lit(None)
+    for kind in ("typed", "raw", "whole"):
+        n = F.col("n_typed" if kind == "typed" else "n_raw")
+        for size in sizes[kind]:
+            at = F.when((F.col("kind") == kind) & (F.col("size") == size), F.col("pos") - before).otherwise(at)
+            count = F.greatest(n - (size - 1), F.lit(0)) if kind != "whole" else (n == size).cast("int")
+            before = before + count
+    return at
+
+
+def item_tokens(benchmark: DataFrame) -> DataFrame:
+    """item_id, tokens as typed and as said, raw words; items without words go."""
     rows = benchmark.where(F.col("item_id").isNotNull()).select("item_id", plain(F.col("text")).alias("text")).distinct()
-    rows = rows.select("item_id", typed_tokens(F.col("text")).alias("typed"), raw_tokens(F.col("text")).alias("said"), raw_words(F.col("text")).alias("raw"))
-    rows = rows.where(F.size("raw") > 0)
-    sizes = list(range(1, WINDOW + 1))
-    own = lambda words: F.least(F.size(words), F.lit(WINDOW))
-    all_of = found(F.col("typed"), F.col("raw"), {"typed": sizes[SHORTEST - 1 :], "raw": sizes[SHORTEST - 1 :], "whole": sizes[: SHORTEST - 1]})
-    made = rows.select("*", F.inline(all_of)).where(F.col("size") == F.when(F.col("kind") == "typed", own("typed")).otherwise(own("raw")))
-    part = lambda c: F.slice(c, F.col("at") + 1, F.col("size"))
-    made = made.select("item_id", "kind", "size", F.col("at").alias("item_at"), "hash", part("typed").alias("item_typed"), F.when(F.col("kind") == "typed", part("said")).otherwise(part("raw")).alias("item_raw"))
-    literal = F.size(F.filter("item_typed", lambda t: ~t.isin(NUM, NAME, UNIT)))
-    made = made.where((F.col("kind") != "typed") | (literal * 2 >= F.col("size")))
-    return made.withColumn("n_windows", F.count("*").over(Window.partitionBy("item_id", "kind")))
+    rows = rows.select("item_id", F.xxhash64("text").alias("of_item"), typed_tokens(F.col("text")).alias("typed"), raw_tokens(F.col("text")).alias("said"), raw_words(F.col("text")).alias("raw"))
+    return rows.where(F.size("raw") > 0)
+
+
+def item_windows(items: DataFrame) -> DataFrame:
+    """Windows of the benchmark: item, kind, size, item_at, hash, and how many of the kind the item has.
+    Typed windows of which under half is literal go."""
+    pieces = []
+    for kind, words in (("typed", "typed"), ("raw", "raw"), ("whole", "raw")):
+        for size in range(1, SHORTEST) if kind == "whole" else range(SHORTEST, WINDOW + 1):
+            of = items.where(F.size(words) == size if size < WINDOW else F.size(words) >= size)
+            pieces.append(of.select(*ITEM, "typed", F.lit(kind).alias("kind"), F.lit(size).alias("size"), F.posexplode(window_hashes(F.col(words), [size], kind)).alias("item_at", "hash")))
+    made = reduce(DataFrame.unionByName, pieces)
+    literal = F.size(F.filter(F.slice("typed", F.col("item_at") + 1, F.col("size")), lambda t: ~t.isin(NUM, NAME, UNIT)))
+    made = made.where((F.col("kind") != "typed") | (literal * 2 >= F.col("size"))).drop("typed")
+    return made.withColumn("n_windows", F.count("*").over(Window.partitionBy(*ITEM, "kind")))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -147,64 +162,79 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("of_text"), plain(F.col("text")).alias("text"))
 
 
-ROW = ["doc_id", "of_text"]
+#: What tells a document from others, an item from others, an alignment of the two from others.
+ROW, ITEM = ["doc_id", "of_text"], ["item_id", "of_item"]
+ALIGNED = [*ROW, *ITEM, "kind", "shift"]
 
 
-def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Windows of documents that meet a window of the benchmark: equal outside the slots (typed), or
-    throughout (raw, whole); what hashes make meet by chance is left out."""
+def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """A row an alignment: document, item, kind, shift of the document's places against the item's, and
+    the item's windows `ats` whose hashes meet the document's."""
     sizes: dict[str, list[int]] = {"typed": [], "raw": [], "whole": []}
-    for r in items.select("kind", "size").distinct().orderBy("kind", "size").collect():
+    for r in windows.select("kind", "size").distinct().orderBy("kind", "size").collect():
         sizes[r["kind"]].append(r["size"])
     if not any(sizes.values()):
         sizes["raw"] = [WINDOW]
-    rows = keyed(docs)
-    seen = rows.select(*ROW, F.inline(found(typed_tokens(F.col("text")), raw_words(F.col("text")), sizes)))
-    keys = items.select("kind", "size", "hash", "item_id", "item_at")
-    if items.count() <= BROADCAST_ROWS:
-        met = seen.join(F.broadcast(keys), ["kind", "size", "hash"])
+    read = docs.select(*ROW, typed_tokens(F.col("text")).alias("typed"), raw_words(F.col("text")).alias("raw"))
+    read = read.select(*ROW, F.size("typed").alias("n_typed"), F.size("raw").alias("n_raw"), found(sizes).alias("hashes"))
+    # outer, as for an inner one Spark tests size(hashes) at the scan, which works everything out twice
+    seen = read.select(*ROW, "n_typed", "n_raw", F.posexplode_outer("hashes").alias("pos", "hash"))
+    if windows.count() <= BROADCAST_ROWS:
+        met = seen.join(F.broadcast(windows), "hash")
     else:
-        salted = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = seen.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["kind", "size", "hash", "salt"])
-    met = cut(met.select(*ROW, "kind", "at", "item_id", "item_at").distinct())
-    words = rows.join(met.select(*ROW).distinct(), ROW, "left_semi").select(*ROW, raw_tokens(F.col("text")).alias("said"), raw_words(F.col("text")).alias("raw")).dropDuplicates(ROW)
-    near = met.join(words, ROW).join(items, ["item_id", "kind", "item_at"])
-    doc_raw = F.slice(F.when(F.col("kind") == "typed", F.col("said")).otherwise(F.col("raw")), F.col("at") + 1, F.col("size"))
-    near = near.select(*ROW, "item_id", "kind", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), "n_windows", "item_typed", "item_raw", doc_raw.alias("doc_raw"))
-    near = near.withColumn("same", F.col("item_raw") == F.col("doc_raw"))
-    cell = F.transform("item_typed", lambda t, k: F.struct(t.alias("kind"), F.get("item_raw", k).alias("item"), F.get("doc_raw", k).alias("doc"), (F.col("item_at") + k).alias("place")))
-    near = near.withColumn("cells", F.when(F.col("kind") == "typed", cell))
-    exact = F.forall("cells", lambda c: c["kind"].isin(NUM, NAME, UNIT) | (c["item"] == c["doc"]))
-    near = near.where(F.col("same") | ((F.col("kind") == "typed") & exact))
-    return near.select(*ROW, "item_id", (F.col("kind") == "typed").alias("typed"), "item_at", "shift", "n_windows", "same", F.filter("cells", lambda c: c["kind"].isin(NUM, NAME, UNIT)).alias("slots"))
-
-
-def consistent(met: DataFrame, keys: list[str]) -> DataFrame:
-    """The windows without a clashing slot. In an alignment, a value of the item stands for the value of
-    the document that most of its places show, and the other way round; other values clash, and all of
-    them where none shows most often. Windows of equal raw words always stay."""
-    pair = [*keys, "kind", "item", "doc"]
-    said = met.select(*keys, F.explode("slots").alias("s")).select(*keys, "s.*").distinct().groupBy(*pair).agg(F.count("*").alias("places"))
+        salted = windows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = seen.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["hash", "salt"])
+    met = met.withColumn("shift", place(sizes) - F.col("item_at"))
+    return met.groupBy(*ALIGNED).agg(F.array_sort(F.collect_set("item_at")).alias("ats"), F.max("size").alias("size"), F.max("n_windows").alias("n_windows"))
+
+
+def compared(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Alignments with the item's slots (place, kind, value, the document's value), the windows that are
+    equal word for word (same), and those equal outside the slots (fit). Tokens are read again for documents with a hit."""
+    met = cut(hits(docs, cut(item_windows(items))))
+    held = cut(met.select(*ROW).distinct())
+    words = docs.join(F.broadcast(held) if held.count() <= BROADCAST_ROWS else held, ROW, "left_semi").dropDuplicates(ROW)
+    words = cut(words.select(*ROW, raw_tokens(F.col("text")).alias("doc_said"), raw_words(F.col("text")).alias("doc_raw")))
+    near = met.join(words, ROW).join(items, ITEM)
+    typed = F.col("kind") == "typed"
+    other = F.transform(F.when(typed, F.col("said")).otherwise(F.col("raw")), lambda w, k: F.get(F.when(typed, F.col("doc_said")).otherwise(F.col("doc_raw")), k + F.col("shift")))
+    near = near.select(*ALIGNED, "ats", "size", "n_windows", "typed", F.when(typed, F.col("said")).otherwise(F.col("raw")).alias("own"), other.alias("other"))
+    slot = lambda t: F.coalesce(t.isin(NUM, NAME, UNIT), F.lit(False))
+    cell = F.zip_with("own", "other", lambda a, b: F.struct(a.alias("item"), b.alias("doc"), F.coalesce(a == b, F.lit(False)).alias("same")))
+    cell = F.transform(cell, lambda c, k: F.struct(k.alias("place"), F.when(typed, F.get("typed", k)).alias("kind"), c["item"].alias("item"), c["doc"].alias("doc"), c["same"].alias("same"), (c["same"] | (slot(F.when(typed, F.get("typed", k))) & c["doc"].isNotNull())).alias("fit")))
+    near = cut(near.select(*ALIGNED, "ats", "size", "n_windows", cell.alias("cells")))
+    inside = lambda at, field: F.forall(F.sequence(at, at + F.col("size") - 1), lambda k: F.get("cells", k)[field])
+    near = near.withColumns({"same": F.filter("ats", lambda at: inside(at, "same")), "fit": F.filter("ats", lambda at: inside(at, "fit"))})
+    slots = F.filter("cells", lambda c: slot(c["kind"]) & F.exists("fit", lambda at: (at <= c["place"]) & (c["place"] < at + F.col("size"))))
+    return near.select(*ALIGNED, "size", "n_windows", "same", F.array_except("fit", "same").alias("changed"), slots.alias("slots"))
+
+
+def clashes(near: DataFrame) -> DataFrame:
+    """Alignments with the places of clashing slots. In an alignment, a value of the item stands for the
+    value of the document that most of its places show, and the other way round; other values clash,
+    and all of them where none shows most often. Alignments without a changed window are not asked."""
+    pair = [*ALIGNED, "slot", "item", "doc"]
+    said = near.where(F.size("changed") > 0).select(*ALIGNED, F.explode("slots").alias("s"))
+    said = said.select(*ALIGNED, "s.place", F.col("s.kind").alias("slot"), "s.item", "s.doc").groupBy(*pair).agg(F.collect_set("place").alias("places"))
 
     def leads(side: str) -> Column:
-        by = Window.partitionBy(*keys, "kind", side)
-        return F.rank().over(by.orderBy("places")) == F.count("*").over(by)
+        by = Window.partitionBy(*ALIGNED, "slot", side)
+        return F.rank().over(by.orderBy(F.size("places"))) == F.count("*").over(by)
 
-    clash = said.withColumns({"by_item": leads("item"), "by_doc": leads("doc")}).where(~(F.col("by_item") & F.col("by_doc"))).select(*pair)
-    changed = met.where(~F.col("same"))
-    bad = changed.select(*keys, "item_at", F.explode("slots").alias("s")).select(*keys, "item_at", "s.kind", "s.item", "s.doc").join(clash, pair, "left_semi")
-    return met.where("same").unionByName(changed.join(bad, [*keys, "item_at"], "left_anti").select(*met.columns))
+    said = said.withColumns({"by_item": leads("item"), "by_doc": leads("doc")}).where(~(F.col("by_item") & F.col("by_doc")))
+    return said.groupBy(*ALIGNED).agg(F.flatten(F.collect_list("places")).alias("bad"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, of_text, item_id, covered, changed): documents that hold an item, or one with other
     numbers, names or units (changed). of_text is the hash of the document's text."""
-    met = cut(hits(docs, cut(item_windows(benchmark))))
-    keys = [*ROW, "item_id", "shift"]
-    held = consistent(met.where("typed"), keys).unionByName(met.where("not typed"))
-    runs = held.groupBy(*keys, "typed").agg(F.count_distinct("item_at").alias("n"), F.max("n_windows").alias("of"))
-    good = runs.where((F.col("n") / F.col("of") >= SHARE) | (F.col("n") >= RUN))
-    return good.groupBy(*ROW, "item_id").agg(F.max(F.col("n") / F.col("of")).alias("covered"), F.min("typed").alias("changed"))
+    near = cut(compared(keyed(docs), cut(item_tokens(benchmark))))
+    near = near.join(clashes(near), ALIGNED, "left")
+    clear = lambda at: ~F.exists("bad", lambda k: (at <= k) & (k < at + F.col("size")))
+    n = F.size("same") + F.when(F.col("bad").isNull(), F.size("changed")).otherwise(F.size(F.filter("changed", clear)))
+    runs = near.select(*ALIGNED, n.alias("n"), "n_windows")
+    good = runs.where((F.col("n") / F.col("n_windows") >= SHARE) | (F.col("n") >= RUN))
+    return good.groupBy(*ROW, "item_id").agg(F.max(F.col("n") / F.col("n_windows")).alias("covered"), F.min(F.col("kind") == "typed").alias("changed"))
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
