@@ -16,7 +16,9 @@ the count up to each chunk, and of the whole.
 
 Defined results: a null text counts as empty and has no tokens; an unknown character counts its
 UTF-8 bytes if the vocabulary has byte pieces, else 1 for each run of them. Files ending in .json are
-counted by the tokenizers library's own automaton through `count_library`.
+counted by the tokenizers library's own automaton through `count_library`. Whole texts are read, however
+long: time grows with the length times the logarithm of the number of chunks. Rows that repeat each give a
+row, an empty table none; the count takes the place of a column of its name.
 """
 
 from __future__ import annotations
@@ -165,18 +167,26 @@ class Counter:
         self.words[chunk] = found
         return found
 
+    def forgets_at(self, chunk: str, k: int) -> bool:
+        """Whether, in whatever state the chunk is entered, the transducer goes on from the start at k."""
+        t = self.transducer
+        return chunk[k - 1 : k + 1] not in t.pairs and chunk[k] in t.children[0]
+
     def chunk_map(self, chunk: str) -> ChunkMap:
-        """Map of a chunk whose neighbours are unknown; only inner word starts forget."""
-        pairs = self.transducer.pairs
-        cuts = [k for k in range(1, len(chunk)) if chunk[k - 1] != SPACE and chunk[k] == SPACE and chunk[k - 1] + SPACE not in pairs]
-        if not cuts:
+        """Map of a chunk whose neighbours are unknown."""
+        first = next((k for k in range(1, len(chunk)) if self.forgets_at(chunk, k)), 0)
+        if not first:
             return ChunkMap(chunk, False)
-        count, get = 0, self.words.get
-        for w in self.marked.findall(chunk[cuts[0] : cuts[-1]]):
-            n = get(w)
-            count += self.word(w) if n is None else n
-        state, more = self.transducer.run(chunk[cuts[-1] :])
-        return ChunkMap(chunk[: cuts[0]], True, count + more, state)
+        last = next(k for k in range(len(chunk) - 1, 0, -1) if self.forgets_at(chunk, k))
+        count, get, inside = 0, self.words.get, chunk[first:last]
+        if self.model.words_apart:
+            for w in self.marked.findall(inside):
+                n = get(w)
+                count += self.word(w) if n is None else n
+        else:
+            count = self.transducer.run(inside)[1]
+        state, more = self.transducer.run(chunk[last:])
+        return ChunkMap(chunk[:first], True, count + more, state)
 
     def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
         """The map of chunk a followed by chunk b."""
@@ -192,9 +202,26 @@ class Counter:
         return self.transducer.run(m.head)[1] + m.count
 
     def prefix_counts(self, text: str, size: int = CHUNK) -> list[int]:
-        """Tokens of the normalised text up to the end of each chunk."""
+        """Tokens of the normalised text up to the end of each chunk. The maps of all prefixes from the
+        first sealed one on have the same head, which is entered once; before that, a prefix goes on
+        where the one before it ended."""
+        chunks = [text[k : k + size] for k in range(0, len(text), size)]
+        out, at, head = [], None, None
+        for chunk, m in zip(chunks, scan([self.chunk_map(c) for c in chunks], self.compose)):
+            if m.sealed:
+                head = self.transducer.run(m.head)[1] if head is None else head
+                out.append(head + m.count)
+            else:
+                at, more = self.transducer.run(chunk, at)
+                out.append(more + (out[-1] if out else 0))
+        return out
+
+    def total(self, text: str, size: int = CHUNK) -> int:
+        """Tokens of the normalised text: neighbouring maps composed in rounds, the last one entered."""
         maps = [self.chunk_map(text[k : k + size]) for k in range(0, len(text), size)]
-        return [self.enter(m) for m in scan(maps, self.compose)]
+        while len(maps) > 1:
+            maps = [self.compose(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
+        return self.enter(maps[0]) if maps else 0
 
     def count(self, text: str | None) -> int:
         if not text:
@@ -211,19 +238,20 @@ class Counter:
         else:
             normal = self.normalizer.normalize(text)[0].decode()
         try:
-            return self.prefix_counts(normal)[-1] if normal else 0
+            return self.total(normal)
         except MemoryError:
             self.transducer = Transducer(self.model)
-            return self.prefix_counts(normal)[-1]
+            return self.total(normal)
 
 
 def scan(maps: list[ChunkMap], compose: Callable[[ChunkMap, ChunkMap], ChunkMap]) -> list[ChunkMap]:
-    """Inclusive prefix scan by doubling: in log2(n) rounds, the steps of a round independent."""
-    out, step = list(maps), 1
-    while step < len(out):
-        out = [out[k] if k < step else compose(out[k - step], out[k]) for k in range(len(out))]
-        step *= 2
-    return out
+    """Inclusive prefix scan: neighbours are composed, the scan of the pairs gives every other prefix,
+    and one more composition each the rest. The compositions of a level are independent, the levels
+    log2(n), and no level reads more than the whole once."""
+    if len(maps) < 2:
+        return list(maps)
+    pairs = scan([compose(a, b) for a, b in zip(maps[::2], maps[1::2])], compose)
+    return [maps[0] if not k else pairs[k // 2] if k % 2 else compose(pairs[k // 2 - 1], maps[k]) for k in range(len(maps))]
 
 
 @cache

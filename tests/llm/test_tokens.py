@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import pytest
 import sentencepiece
@@ -88,7 +89,7 @@ def test_transducer_chunks_compose():
             continue
         whole = c.prefix_counts(normal, len(normal))[-1]
         for size in (1, 7, 64, rng.randint(2, 200)):
-            assert c.prefix_counts(normal, size)[-1] == whole
+            assert c.prefix_counts(normal, size)[-1] == whole == c.total(normal, size)
         maps = [c.chunk_map(normal[k : k + 5]) for k in range(0, len(normal), 5)][:40]
         if len(maps) >= 3:
             left = c.compose(c.compose(maps[0], maps[1]), maps[2])
@@ -96,6 +97,23 @@ def test_transducer_chunks_compose():
             assert c.enter(left) == c.enter(right)
 
 
+@pytest.mark.parametrize("unit", ["abcdefghij", "x", "\u65e5", "word "])
+def test_prefixes_and_totals_in_small_chunks(unit):  # noqa: ANN001
+    c = tokencount.counter(PATH)
+    text = "\u2581" + (unit * 200).replace(" ", "\u2581")
+    for size in (1, 3, 7, 50):
+        assert c.prefix_counts(text, size) == [c.transducer.run(text[: k + size])[1] for k in range(0, len(text), size)]
+        assert c.total(text, size) == c.transducer.run(text)[1]
+
+
+def test_a_text_of_ten_million_characters_without_a_space():
+    c, text = tokencount.counter(PATH), "abcdefghij" * 1_000_000
+    start = time.perf_counter()
+    got = c.count(text)
+    assert time.perf_counter() - start < 60
+    assert got == expected(text)[0]
+
+
 def test_scan_is_a_prefix_sum():
     assert tokencount.scan([1, 2, 3, 4, 5], lambda a, b: a + b) == [1, 3, 6, 10, 15]
     assert tokencount.scan([], lambda a, b: a + b) == []
