@@ -11,7 +11,8 @@ A prediction reads the whole text and nothing else. As the average is linear, ea
 the logits is worked out once a worker and looked up afterwards.
 
 Defined results: a null text, or one without letters, is `und` with score 0 and not accepted. Equal
-texts get equal predictions. With no labelled row every text is `und`; with one language, that one.
+texts get equal predictions; rows that repeat each give a row, an empty table none; whole texts are read,
+however long; ties go to the language that sorts first. With no labelled row every text is `und`; with one language, that one.
 """
 
 from __future__ import annotations
@@ -177,7 +178,7 @@ def fit_on(docs: DataFrame, rows: int = SAMPLE_ROWS) -> LanguageModel:
 
 
 def identify(df: DataFrame, model: LanguageModel, text: str = "text", out: str = "language") -> DataFrame:
-    """`df` with the struct `out`: lang, score, accepted."""
+    """`df` with the struct `out`, in place of a column of that name: lang, score, accepted."""
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

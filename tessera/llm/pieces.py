@@ -11,8 +11,9 @@ then words are segmented once a worker and looked up afterwards.
 
 Defined results: a null text counts as empty and has no pieces; U+0000 and unknown characters become
 byte pieces if the model has them (the last byte piece of a character holds its span, the earlier
-ones an empty span at its start). The model file's path is a parameter; it must be readable on every
-executor.
+ones an empty span at its start). Whole texts are read, however long; rows that repeat each give their own
+row, an empty table none. An output column whose name the input has takes underscores after it, the input's
+stays. The model file's path is a parameter; it must be readable on every executor.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ from functools import cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm.shared import table
+from tessera.llm.shared import fresh, table
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -328,8 +330,6 @@ def codec(path: str) -> Codec:
 
 def encode(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     """`df` with ids, begins and ends (byte offsets) of each whole text."""
-    from pyspark.sql import functions as F
-
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = codec(model_path)
         for texts in batches:
@@ -337,25 +337,22 @@ def encode(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
             yield pd.DataFrame({"ids": [g.ids for g in got], "begins": [g.begins for g in got], "ends": [g.ends for g in got]})
 
     made = F.pandas_udf(run, "struct<ids:array<int>,begins:array<bigint>,ends:array<bigint>>")
-    return df.withColumn("_p", made(F.col(text))).select(*df.columns, "_p.ids", "_p.begins", "_p.ends")
+    name = fresh(df, "_p")
+    return df.withColumn(name, made(F.col(text))).select(*df.columns, *(F.col(f"{name}.{c}").alias(fresh(df, c)) for c in ("ids", "begins", "ends")))
 
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """`df` with the text that the library makes of each row's ids; null ids give an empty text."""
-    from pyspark.sql import functions as F
-
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(model_path)
         for rows in batches:
             yield pd.Series([c.library.decode([int(i) for i in r]) if r is not None and len(r) else "" for r in rows], dtype="object")
 
-    return df.withColumn(out, F.pandas_udf(run, "string")(F.col(ids)))
+    return df.withColumn(fresh(df, out), F.pandas_udf(run, "string")(F.col(ids)))
 
 
 def digests(df: DataFrame, model_path: str, text: str = "text", name: str = "_p") -> DataFrame:
     """`df` with the struct `name`: what encoding and decoding each whole text gives, in short."""
-    from pyspark.sql import functions as F
-
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = codec(model_path)
         for texts in batches:
@@ -372,4 +369,5 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last stage of the pipeline: each document that is left, with its pieces' digest."""
-    return digests(docs, default_model()).select(*docs.columns, "_p.n_tokens", "_p.ids_sha256", "_p.decoded_sha256")
+    name = fresh(docs, "found")
+    return digests(docs, default_model(), name=name).select(*docs.columns, *(F.col(f"{name}.{c}").alias(fresh(docs, c)) for c in ("n_tokens", "ids_sha256", "decoded_sha256")))

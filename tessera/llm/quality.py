@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import bounded_sample, table
+from tessera.llm.shared import bounded_sample, fresh, table
 
 #: Bounds of the training sample, rounds, and documents each view names a round.
 LABELLED, POOL, ROUNDS, NAMED = 5000, 5000, 5, 200
@@ -175,7 +175,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: i
 
 
 def score(docs: DataFrame, model: CoTrained | None, out: str = "quality") -> DataFrame:
-    """`docs` with the struct column `out`: content, metadata, combined (probabilities of class 1)."""
+    """`docs` with the struct column `out`, in place of one of that name: content, metadata, combined (probabilities of class 1)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<content:double,metadata:double,combined:double>")
@@ -208,4 +208,5 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose combined score is under 0.5 go."""
     model = fit_on(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model, "_quality").where(F.col("_quality.combined") >= 0.5).select(*docs.columns)
+    name = fresh(docs, "quality_scores")
+    return score(docs, model, name).where(F.col(f"{name}.combined") >= 0.5).select(*docs.columns)

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import bounded_sample, crc_of_id, cut, table
+from tessera.llm.shared import bounded_sample, crc_of_id, cut, fresh, table
 
 #: Training rows read by the driver: labelled documents and their texts' terms. Documented bounds.
 SAMPLE_ROWS = 6000
@@ -228,7 +228,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Toxic
 
 
 def score(docs: DataFrame, model: ToxicModel, out: str = "score") -> DataFrame:
-    """`docs` with the score column `out`; every other column passes as it is."""
+    """`docs` with the score column `out`, in place of one of that name; every other column passes as it is."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -255,5 +255,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents scored 0.5 or more go."""
     model = fit_on(docs, table(spark, sf_dir, "labels"))
-    kept = score(docs, model, "_toxic").where(F.col("_toxic") < 0.5)
-    return kept.select(*docs.columns)
+    name = fresh(docs, "toxic_score")
+    return score(docs, model, name).where(F.col(name) < 0.5).select(*docs.columns)

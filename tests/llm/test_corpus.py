@@ -7,6 +7,7 @@ import os
 import random
 import re
 from collections import defaultdict
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import decontaminate, imatch, neardup, preference, queries, toxicity, warc
+from tessera.llm import decontaminate, imatch, neardup, pieces, preference, queries, shared, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -251,6 +252,16 @@ def test_fingerprints_odd_rows(spark):  # noqa: ANN001
     assert imatch.fingerprints(documents(spark, rows).select("doc_id", "text")).count() == 5
 
 
+def test_lexicon_by_either_join(spark, monkeypatch):  # noqa: ANN001
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    got = sorted(r.term for r in imatch.lexicon(docs).collect())
+    monkeypatch.setattr(imatch, "BROADCAST_ROWS", -1)
+    assert sorted(r.term for r in imatch.lexicon(docs).collect()) == got
+    n = docs.select("text").distinct().count()
+    terms = docs.select("text").distinct().select(F.explode(imatch.words(F.col("text"))).alias("term")).groupBy("term").count()
+    assert got == sorted(r.term for r in terms.collect() if max(2, 0.0005 * n) <= r["count"] <= max(2, 0.1 * n))
+
+
 def test_copies_keep_their_terms(spark):  # noqa: ANN001
     hot = ["amber basil cedar dune", "elm fern grove heath"]
     rows = [(k, hot[k % 2] if k < 80 else f"word{k} {hot[k % 2].split()[k % 4] if k < 88 else ''} other{k // 2}") for k in range(120)]
@@ -386,18 +397,52 @@ def test_items_of_under_five_words(spark):  # noqa: ANN001
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(documents(spark, rows), bench).collect()} == {(1, 1), (3, 2)}
 
 
-def test_audit_finds_what_differs(spark):  # noqa: ANN001
-    pages = spark.createDataFrame([(i, f"http://a/{i}", "<p>" + "x" * (i % 50)) for i in range(3000)] + [(None, "u", "h"), (-5, None, None)], "page_id long, url string, html string")
-    leaves = warc.manifest(warc.records(pages))
-    assert leaves.count() == 3001
-    other = leaves.where("page_id <> 77").withColumn("digest", F.when(F.col("page_id").isin(5, 1500), "bad").otherwise(F.col("digest")))
-    got = {(r.file_no, r.place): r.status for r in warc.audit(leaves, other).collect()}
-    assert got == {(0, 5): "changed", (0, 77): "missing", (1, 1500 - 1024): "changed"}
-    assert warc.audit(leaves, leaves).count() == 0
-    assert {r.status for r in warc.audit(other, leaves).collect()} == {"changed", "extra"}
-    assert warc.audit(leaves.limit(0), leaves.limit(0)).count() == 0
-    assert warc.audit(leaves.limit(0), leaves).count() == 3001
-    assert len({tuple(t.levels[-1].first()) for t in (warc.tree(leaves, *warc.extent(leaves)) for _ in range(2))}) == 1
+def archive(spark, pages, path, known=None):  # noqa: ANN001, ANN201
+    warc.write_warc(warc.records(pages), str(path))
+    return warc.replica(spark, str(path), warc.catalogue(pages if known is None else known))
+
+
+def found_by(frame):  # noqa: ANN001, ANN201
+    return sorted((r.page_id, r.status, r.copies) for r in frame.collect())
+
+
+def test_audit_finds_what_differs(spark, tmp_path):  # noqa: ANN001
+    schema = "page_id long, url string, html string, file_no long"
+    rows = [(i, f"http://a/{i}", "<p>" + "x" * (i % 50), 0) for i in range(3000)] + [(None, "u", "h", 0), (-5, None, None, 0), (9000, "long", "y" * 3_000_000, 0)]
+    pages = spark.createDataFrame(rows, schema)
+    ours = warc.manifest(warc.records(pages))
+    assert ours.count() == 3002
+    assert warc.audit(ours, archive(spark, pages, tmp_path / "same")).count() == 0
+    other = spark.createDataFrame([(i, u, "z" + (h or "")[1:] if i in (5, 1500, 9000) else h, 0) for i, u, h, _ in rows if i != 77], schema)
+    theirs = archive(spark, other, tmp_path / "other")
+    assert found_by(warc.audit(ours, theirs).where("status <> 'extra'")) == [(5, "changed", 1), (77, "missing", 1), (1500, "changed", 1), (9000, "changed", 1)]
+    assert found_by(warc.audit(theirs, ours)) == [(5, "changed", 1), (77, "extra", 1), (1500, "changed", 1), (9000, "changed", 1)]
+    assert warc.audit(ours.limit(0), ours.limit(0)).count() == 0
+    assert found_by(warc.audit(ours.limit(0), ours.where("page_id < 3"))) == [(-5, "extra", 1), (0, "extra", 1), (1, "extra", 1), (2, "extra", 1)]
+    spans = [warc.extent(warc.leaves(x)) for x in (ours, ours)]
+    assert len({tuple(warc.tree(warc.leaves(ours), *s).levels[-1].first()) for s in spans}) == 1
+
+
+def test_a_lost_record_is_one_missing_record(spark, tmp_path):  # noqa: ANN001
+    pages = spark.createDataFrame([(i, f"u{i}", "<p>" * (1 + i % 9)) for i in range(100)], "page_id long, url string, html string")
+    less = archive(spark, pages.where("page_id <> 11"), tmp_path / "less")
+    assert found_by(warc.audit(warc.manifest(warc.records(pages)), less)) == [(11, "missing", 1)]
+
+
+def test_audit_of_repeated_pages(spark, tmp_path):  # noqa: ANN001
+    schema = "page_id long, url string, html string"
+    rows = [(1, "u", f"version {k}") for k in range(400)] + [(1, "u", "again")] * 5 + [(2, "u", "one")]
+    pages = spark.createDataFrame(rows, schema)
+    ours = warc.manifest(warc.records(pages))
+    assert sorted(r.place for r in ours.collect()) == list(range(406))
+    less = [r for r in rows if r[2] not in ("version 7", "version 8")]
+    less.remove((1, "u", "again"))
+    theirs = archive(spark, spark.createDataFrame([*less, (1, "u", "new"), (3, "v", "unknown")], schema), tmp_path / "a", pages)
+    digest = {r.digest for r in ours.where("copy = 5").collect()}
+    got = warc.audit(ours, theirs).collect()
+    assert sum(r.copies for r in got if r.status == "changed") == 1 and sum(r.copies for r in got if r.status == "missing") == 2
+    assert [(r.page_id, r.copies) for r in got if r.status == "extra"] == [(None, 1)]
+    assert {r.digest for r in got if r.status != "extra"} >= digest
 
 
 def test_warc_files_round_trip(spark, tmp_path):  # noqa: ANN001
@@ -411,7 +456,7 @@ def test_warc_files_round_trip(spark, tmp_path):  # noqa: ANN001
     for p in rows:
         if sum(q.url == p.url for q in rows) == 1:
             assert bytes(back[p.url].block).decode() == warc.BLOCK + p.html
-            assert (back[p.url].offset, back[p.url].length) == (index[p.page_id].offset, index[p.page_id].length)
+            assert (back[p.url].length, back[p.url].digest) == (index[p.page_id].length, index[p.page_id].digest)
 
 
 def test_preferences(spark):  # noqa: ANN001
@@ -462,6 +507,28 @@ def test_pipeline_keeps_clean_documents(spark):  # noqa: ANN001
     assert len({texts[i] for i in left}) == len(left)
 
 
+def test_clashing_column_names(spark):  # noqa: ANN001
+    names = ["_toxic", "_quality", "n_tokens", "ids", "_p", "leaked_id", "of_text", "block", "copies", "share"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40).select("*", *(F.lit("mine").alias(n) for n in names))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.columns[: len(docs.columns)] == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == "mine" for r in rows for n in names), name
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert last.columns[len(docs.columns) :] == ["n_tokens_", "ids_sha256", "decoded_sha256"]
+    coded = pieces.decode(pieces.encode(docs, pieces.default_model()), pieces.default_model(), ids="ids_", out="ids")
+    assert coded.columns == [*docs.columns, "ids_", "begins", "ends", "ids__"]
+    first = coded.first()
+    assert first["ids__"] == first.text and first.ids == "mine"
+
+
+def test_no_shared_folder_on_a_cluster():
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda key, other: other), sparkContext=SimpleNamespace(master="spark://somewhere"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(unset)
+
+
 def test_pipeline_of_nothing(spark, tmp_path):  # noqa: ANN001
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
