@@ -1,17 +1,21 @@
 """Toxicity by weak supervision.
 
-Many voters (lexicons, word-beginning lexicons and surface patterns) vote toxic, clean or abstain on
-each document. A generative label model estimates, without looking at one label, each voter's
-accuracy in either class and the correlations between voters; correlated voters share one voice.
-Its posterior labels train a linear classifier over term features, which scores whole
-texts.
+Many voters (lexicons of words, of word beginnings and of repeated ones, and surface patterns) vote
+toxic, clean or abstain on each document. A generative label model estimates, without looking at one
+label, each voter's accuracy in either class and, in every round, the correlations between voters given the
+class; correlated voters share one voice. Its posterior labels train a linear classifier over term
+features, which scores whole texts.
+
+A term is a word or a word beginning, or either of them standing REPEATED times or more; so words that are
+made up as they go, but begin alike, are found in any language by few documents.
 
 Rows of the training sample come only from `labels` and only from documents whose
 crc32(doc_id) mod 5 is not 0. Labels serve to mine the lexicons and to name the classes; source,
 lang and doc_id are never inputs of a score.
 
 Defined results: a null text counts as empty; an empty text gets the classifier's score of a text
-without any term. Documents keep one output row for each input row, copies get equal scores.
+without any term. Whole texts are read, however long. Documents keep one output row for each input row, copies get equal scores;
+an empty table gives none; ties among mined terms go by the term.
 Without any usable label the mined lexicons are empty and the seed lexicons alone vote.
 """
 
@@ -34,21 +38,30 @@ from tessera.llm.shared import bounded_sample, crc_of_id, cut, fresh, table
 SAMPLE_ROWS = 6000
 #: Terms of the classifier at most.
 FEATURES = 4096
+#: A mined term's least toxic texts and log odds.
+SUPPORT, ODDS = 3, 2.5
 VOTERS = 24
 PREFIXES = (3, 4, 5, 6)
+#: A term's occurrences from which it counts as repeated, and the mark of that.
+REPEATED, AGAIN = 3, "#"
 WORD = re.compile(r"[^\W\d_]+")
 
 #: Seed lexicon: common English words of insult.
 SEED = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown")
 
 
+def beginnings(word: str) -> list[str]:
+    """The word and its beginnings, these marked by '*'."""
+    return [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) > n)]
+
+
 def terms(text: str) -> set[str]:
-    """Distinct terms of a text: words in lower case, and word beginnings marked by '*'."""
-    words = set(WORD.findall(text.lower()))
-    out = set(words)
-    for n in PREFIXES:
-        out.update(f"{w[:n]}*" for w in words if len(w) > n)
-    return out
+    """Distinct terms of a text: words in lower case, word beginnings, and which of them are repeated."""
+    counts: Counter = Counter()
+    for w, n in Counter(WORD.findall(text.lower())).items():
+        for t in beginnings(w):
+            counts[t] += n
+    return {*counts, *(t + AGAIN for t, n in counts.items() if n >= REPEATED)}
 
 
 PATTERNS = (
@@ -70,20 +83,17 @@ class ToxicModel:
     correlation: np.ndarray | None = None
 
     def score(self, text: str | None, memo: dict[str, tuple[str, ...]] | None = None) -> float:
-        """Probability that a whole text is toxic."""
-        return self.score_words(set(WORD.findall((text or "").lower())), {} if memo is None else memo)
-
-    def score_words(self, words: set[str], memo: dict[str, tuple[str, ...]]) -> float:
-        weights, hit = self.weights, set()
-        for w in words:
+        """Probability that a whole text is toxic. `memo` remembers the weighted terms of words."""
+        weights, memo, hit = self.weights, {} if memo is None else memo, {}
+        for w, n in Counter(WORD.findall((text or "").lower())).items():
             found = memo.get(w)
             if found is None:
                 if len(memo) > 200_000:
                     memo.clear()
-                found = memo[w] = tuple(t for t in (w, *(f"{w[:n]}*" for n in PREFIXES if len(w) > n)) if t in weights)
-            if found:
-                hit.update(found)
-        z = self.bias + sum(weights[t] for t in sorted(hit))
+                found = memo[w] = tuple(t for t in beginnings(w) if t in weights or t + AGAIN in weights)
+            for t in found:
+                hit[t] = hit.get(t, 0) + n
+        z = self.bias + sum(weights.get(t, 0.0) + (weights.get(t + AGAIN, 0.0) if hit[t] >= REPEATED else 0.0) for t in sorted(hit))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -96,13 +106,13 @@ def tally(texts: list[str], toxic: list[int]) -> tuple[Counter, Counter]:
 
 
 def mine(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int, size: int = FEATURES) -> list[str]:
-    """Terms that mark toxic documents, by log odds with smoothing and a support of 4 at least;
-    strongest by (log odds x log support). counts: (term, toxic texts, clean texts)."""
+    """Terms that mark toxic documents, by log odds with smoothing and a support of SUPPORT at least, of one
+    less if repeated; strongest by (log odds x log support). counts: (term, toxic texts, clean texts)."""
     scored = []
     for t, a, c in counts:
-        if a >= 4:
+        if a >= SUPPORT - t.endswith(AGAIN):
             odds = math.log((a + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
-            if odds > 2.5:
+            if odds > ODDS:
                 scored.append((-odds * math.log(1 + a), t))
     return [t for _, t in sorted(scored)[:size]]
 
@@ -131,15 +141,15 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 40) -> tuple[np.n
     hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
     weight, corr = np.ones(m), np.eye(m)
     table_ = np.zeros((2, m, 3))
-    for step in range(rounds):
+    for _ in range(rounds):
         for c, mass in ((0, 1 - q), (1, q)):
             table_[c] = (np.einsum("n,nmv->mv", mass, hot) + 0.5) / (mass.sum() + 1.5)
-        if step % 10 == 5:  # residual correlations: what the class does not explain
-            mean = np.array([-1.0, 0.0, 1.0])
-            left = votes - (q[:, None] * (table_[1] @ mean) + (1 - q[:, None]) * (table_[0] @ mean))
-            sd = np.sqrt((left**2).mean(axis=0)) + 1e-6
-            corr = np.clip(left.T @ left / n / np.outer(sd, sd), -1, 1)
-            weight = 1 / np.sqrt(np.maximum(1, np.where(np.abs(corr) > 0.3, np.abs(corr), 0).sum(axis=1)))
+        # residual correlations: what the class does not explain, less what chance would show
+        mean = np.array([-1.0, 0.0, 1.0])
+        left = votes - (q[:, None] * (table_[1] @ mean) + (1 - q[:, None]) * (table_[0] @ mean))
+        sd = np.sqrt((left**2).mean(axis=0)) + 1e-6
+        corr = np.clip(left.T @ left / n / np.outer(sd, sd), -1, 1)
+        weight = 1 / np.sqrt(1 + (np.maximum(np.abs(corr) - 2 / math.sqrt(n), 0) * (1 - np.eye(m))).sum(axis=1))
         share = min(0.5, max(0.5 * prior, float(q.mean())))
         z = math.log(share / (1 - share)) + np.einsum("nmv,mv,m->n", hot, np.log(table_[1]) - np.log(table_[0]), weight)
         q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -170,7 +180,7 @@ def linear(docs: list[set[str]], target: np.ndarray, vocabulary: list[str], epoc
 
 def fit_read(hits: list[set[str]], patterns: np.ndarray, mined: list[str], prior: float) -> ToxicModel:
     """Lexicons from the mined terms, label model, linear classifier on its posterior labels."""
-    lexicons = [[s] for s in SEED] + [x for i in range(VOTERS) if (x := mined[:600][i::VOTERS])]
+    lexicons = [[s] for s in SEED] + [x for i in range(VOTERS) if (x := mined[i::VOTERS])]
     posterior, tables, corr = label_model(vote(hits, patterns, lexicons), max(0.01, min(0.5, prior)))
     vocabulary = list(dict.fromkeys([*SEED, *mined]))
     if len(hits) and (posterior >= 0.5).any():
@@ -214,7 +224,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Toxic
     a, c = F.sum("n1"), F.sum("n0")
     odds = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("c") + 0.5) / (n0 + 1))
     strong = sample.select("text", "mark").mapInPandas(counted, "term string, n1 bigint, n0 bigint").groupBy("term").agg(a.alias("a"), c.alias("c"))
-    strong = strong.where((F.col("a") >= 4) & (odds > 2.5)).orderBy((-odds * F.log(F.col("a") + 1)), "term").limit(FEATURES)
+    strong = strong.where((F.col("a") >= SUPPORT - F.col("term").endswith(AGAIN).cast("int")) & (odds > ODDS)).orderBy((-odds * F.log(F.col("a") + 1)), "term").limit(FEATURES)
     mined = mine([tuple(r) for r in strong.collect()], n1, n0)
     known = frozenset([*SEED, *mined])
 

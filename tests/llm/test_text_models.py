@@ -49,6 +49,28 @@ def test_toxicity_held_out(spark):  # noqa: ANN001
     assert seen.where("hits >= 4 and predicted = 0").count() == 0 and seen.where("hits >= 4").count() > 5
 
 
+def test_toxicity_held_out_by_language():
+    import zlib
+
+    import duckdb
+
+    sf = "/root/testdata/sf0.1"
+    rows = duckdb.sql(f"SELECT d.doc_id, lang, text, toxic FROM '{sf}/documents.parquet' d JOIN '{sf}/labels.parquet' l USING (doc_id)").fetchall()
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    model = toxicity.fit([r[2] for r in train], [r[3] for r in train])
+    for lang, least in (("en", 0.85), ("de", 0.6), ("fr", 0.9), ("es", 0.9)):
+        found = [model.score(r[2]) >= 0.5 for r in held if r[1] == lang and r[3]]
+        assert sum(found) >= least * len(found) > 4, lang
+        wrong = [model.score(r[2]) >= 0.5 for r in held if r[1] == lang and not r[3]]
+        assert sum(wrong) <= 0.01 * len(wrong), lang
+
+
+def test_repeated_terms():
+    got = toxicity.terms("Grunz grunzer grunzt! mild")
+    assert {"grunz", "grunz*", "grun*#", "gru*#", "mild", "mil*"} <= got and "grunz#" not in got and "mil*#" not in got
+
+
 def test_toxicity_odd_rows_and_stage(spark):  # noqa: ANN001
     docs = odd(spark)
     no_labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -82,12 +104,41 @@ def test_co_training_uses_both_views():
     y = (rng.random(60) < 0.5).astype(int)
     pool = (rng.random(2000) < 0.5).astype(int)
     see = lambda t, s: np.column_stack([t + rng.normal(0, s, len(t)), rng.normal(size=len(t))])
-    model = quality.co_train(see(y, 0.4), see(y, 0.4), y, see(pool, 0.4), see(pool, 0.4))
+    model = quality.co_train(see(y, 0.4), see(y, 0.4), y, quality.in_memory(see(pool, 0.4), see(pool, 0.4)))
     fresh = (rng.random(2000) < 0.5).astype(int)
     p = model.score(see(fresh, 0.4), see(fresh, 0.4))
     each = [((p[:, k] > 0.5) == fresh).mean() for k in range(3)]
     assert each[2] > max(each[:2]) and each[2] > 0.93
-    assert quality.co_train(see(y, 1), see(y, 1), np.ones(60), see(pool, 1), see(pool, 1)) is None
+    assert quality.co_train(see(y, 1), see(y, 1), np.ones(60), quality.in_memory(see(pool, 1), see(pool, 1))) is None
+
+
+def test_pseudo_labels_teach_the_other_view():
+    """A view that labels alone leave at chance learns from what the other one names."""
+    rng = np.random.default_rng(4)
+    y, pool, fresh = ((rng.random(n) < 0.5).astype(int) for n in (40, 4000, 2000))
+    a = lambda t: np.column_stack([t + rng.normal(0, 0.15, len(t))])
+    b = lambda t: np.column_stack([t + rng.normal(0, 0.8, len(t)), rng.normal(size=(len(t), 25))])
+    xa, xb, fa, fb = a(y), b(y), a(fresh), b(fresh)
+    taught = quality.co_train(xa, xb, y, quality.in_memory(a(pool), b(pool)))
+    alone = quality.co_train(xa, xb, y, quality.in_memory(np.zeros((0, 1)), np.zeros((0, 26))))
+    right = lambda m: ((m.metadata.logit(fb) > 0) == fresh).mean()
+    assert right(taught) > right(alone) + 0.03
+
+
+def test_pool_sums_are_those_of_all_documents(spark):  # noqa: ANN001
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(500, 3)), rng.normal(size=(500, 2))
+    y = (a[:, 0] + b[:, 0] > 0).astype(float)
+    views = [quality.logistic(a, y), quality.logistic(b, y)]
+    models = (views, [quality.logistic(m.logit(x)[:, None], y) for m, x in zip(views, (a, b))])
+    table = spark.createDataFrame([(x.tolist(), z.tolist()) for x, z in zip(a, b)], "a array<double>, b array<double>").repartition(5)
+    assert np.allclose(quality.in_table(table)(models, 0.7), quality.in_memory(a, b)(models, 0.7))
+    assert quality.in_table(table.limit(0))(models, 0.7).sum() == 0
+
+
+def test_views_share_no_input():
+    assert quality.metadata_view(9, "s", "en") == quality.metadata_view(9, "s", "en") != quality.metadata_view(9, "t", "en")
+    assert "source" not in quality.content_view.__code__.co_varnames and "text" not in quality.metadata_view.__code__.co_varnames
 
 
 def test_quality_odd_rows(spark):  # noqa: ANN001
