@@ -32,11 +32,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import table
+from tessera.llm.shared import cut, table
 
 MIN_SHARE, MAX_SHARE, LEAST = 0.0005, 0.1, 2
 REPLICAS, LEVELS = 6, 10
-CELLS, PART_ROWS, SIDE = 16, 1000, 1000
+CELLS, PART_ROWS, SIDE, BROADCAST_ROWS = 16, 1000, 1000, 500_000
 
 
 def words(text: Column) -> Column:
@@ -45,24 +45,26 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(found, lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
-def band(terms: DataFrame, n: int) -> DataFrame:
-    """Hashes of the terms in the band, from the arrays `terms` of n texts."""
-    low, high = max(LEAST, MIN_SHARE * n), max(LEAST, MAX_SHARE * n)
-    counts = terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return counts.where((F.col("df") >= low) & (F.col("df") <= high)).select("term")
+def in_band(df: Column, n: int) -> Column:
+    """Whether a document frequency among n texts lies in the band."""
+    return (df >= max(LEAST, MIN_SHARE * n)) & (df <= max(LEAST, MAX_SHARE * n))
 
 
-def lexicon(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Hashes of the terms in the band, over all rows."""
-    return band(docs.select(words(F.coalesce(F.col(text), F.lit(""))).alias("terms")), docs.count())
-
-
-def distinct_lexicon(docs: DataFrame) -> DataFrame:
-    """Hashes of the terms in the band, over distinct texts: copies do not push their own terms out.
-    Texts are told apart by hash and length; copies go before the shuffle, which moves terms, not texts."""
+def lexicon(docs: DataFrame) -> DataFrame:
+    """Hashes of the terms in the band, over distinct texts: each of a text's copies counts as its share
+    of one, so copies do not push their own terms out and no text is moved to meet them. Texts are told
+    apart by hash and length. Those that have copies go to every task if there are few enough of them,
+    else the texts' terms are moved to meet them."""
     key = [F.xxhash64("text").alias("hash"), F.length("text").alias("n")]
-    n = docs.select(*key).distinct().count()
-    return band(docs.select(*key, words(F.col("text")).alias("terms")).groupBy("hash", "n").agg(F.first("terms").alias("terms")), n)
+    texts = cut(docs.select(*key).groupBy("hash", "n").agg(F.count("*").alias("copies")))
+    copied = texts.where("copies > 1")
+    if copied.count() <= BROADCAST_ROWS:
+        copied = F.broadcast(copied)
+    # outer, as for an inner explode Spark tests size(terms) at the scan, which works terms out twice
+    found = docs.select(*key, words(F.col("text")).alias("terms")).join(copied, ["hash", "n"], "left")
+    found = found.select(F.coalesce("copies", F.lit(1)).alias("copies"), F.explode_outer("terms").alias("term"))
+    counts = found.groupBy("term").agg(F.round(F.sum(1 / F.col("copies"))).alias("df"))
+    return counts.where(F.col("term").isNotNull() & in_band(F.col("df"), texts.count())).select("term")
 
 
 def spelled_term(term: Column) -> Column:
@@ -156,19 +158,20 @@ def below(bounds: Column, value: Column) -> Column:
     return F.size(F.filter(bounds, lambda b: b <= value))
 
 
-def beside_next(rows: DataFrame, columns: list[str], part_rows: int = PART_ROWS) -> DataFrame:
-    """`rows` with next_<c> of the row that follows by descending doc_id; the first follows the last.
+def beside_next(rows: DataFrame, columns: list[str], then: Callable[[DataFrame], DataFrame], part_rows: int | None = None) -> DataFrame:
+    """`then(rows)` with next_<c> of the row that follows by descending doc_id; the first follows the last.
+    `then` adds columns that are worked out where the rows stand beside each other, and so not moved.
     Parts hold ids between two quantiles, in two steps of up to SIDE, so that none is large: about
     `part_rows` rows, and from SIDE * SIDE * `part_rows` rows on the SIDE^2-th part of all."""
     keyed = rows.withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
     ids = keyed.select("_id")
-    side = max(1, min(SIDE, math.ceil(math.sqrt(ids.count() / part_rows))))
+    side = max(1, min(SIDE, math.ceil(math.sqrt(ids.count() / (part_rows or PART_ROWS)))))
     outer, *inner = quantiles(ids, side)
     first = below(literal(outer, "array<bigint>"), F.col("_id"))
     keyed = keyed.withColumn("_part", first * side + below(F.get(literal(inner, "array<array<bigint>>"), first), F.col("_id")))
     tops = [(r["_part"], r["top"]) for r in keyed.groupBy("_part").agg(F.max("_id").alias("top")).orderBy(F.desc("_part")).toLocalIterator()]
     if not tops:
-        return rows.select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
+        return then(rows).select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
     # the top rows of a part follow the last row of the part above it; those of the highest follow the lowest
     top, above = [None] * (side * side + 1), [None] * (side * side + 1)
     for k, (part, highest) in enumerate(tops):
@@ -176,16 +179,17 @@ def beside_next(rows: DataFrame, columns: list[str], part_rows: int = PART_ROWS)
     is_top = F.get(literal(top, "array<bigint>"), F.col("_part")) == F.col("_id")
     home, guest = F.struct(F.col("_part").alias("part"), F.lit(0).alias("guest")), F.struct(F.get(literal(above, "array<int>"), F.col("_part")).alias("part"), F.lit(1).alias("guest"))
     dealt = keyed.withColumn("_home", F.explode(F.when(is_top, F.array(home, guest)).otherwise(F.array(home))))
-    w = Window.partitionBy("_home.part").orderBy("_home.guest", F.desc("_id"), *(F.col(c) for c in columns[:1]))
+    dealt = then(dealt.select(*rows.columns, "_id", F.col("_home.part").alias("_part"), F.col("_home.guest").alias("_guest")).repartition("_part"))
+    w = Window.partitionBy("_part").orderBy("_guest", F.desc("_id"), *(F.col(c) for c in columns[:1]))
     nexts = [F.lead(c).over(w).alias(f"next_{c}") for c in columns]
-    return dealt.select(*rows.columns, F.col("_home.guest").alias("_guest"), *nexts).where("_guest = 0").drop("_guest")
+    return dealt.select("*", *nexts).where("_guest = 0").drop("_id", "_part", "_guest")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """The contract's columns for doc_id and text."""
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    table_ = term_table(distinct_lexicon(base))
-    marked = beside_next(base.withColumn("fp", fingerprint(F.col("text"), table_)), ["text", "fp"])
+    table_ = term_table(lexicon(base))
+    marked = beside_next(base, ["text", "fp"], lambda rows: rows.withColumn("fp", fingerprint(F.col("text"), table_)))
     n = F.length("text")
     keep = F.floor(n / 3).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - keep), F.substr("next_text", F.lit(1), keep))
