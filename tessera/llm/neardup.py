@@ -152,14 +152,14 @@ def branches(classes: DataFrame) -> DataFrame:
     single task's."""
     tree = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.get("label", 2 * t).alias("high"), F.get("label", 2 * t + 1).alias("low")))
     order = ["tree", "high", "low", "doc_id"]
-    leaves = classes.where(F.size("label") > 0).select(F.inline(tree), "doc_id")
+    leaves = classes.where(F.size("label") > 0).select(F.inline_outer(tree), "doc_id")
     return leaves.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(matched, "doc_id bigint, tree int, high bigint, low bigint, matched bigint")
 
 
 def at_depth(found: DataFrame, depth: int) -> DataFrame:
-    """(doc_id, node): the trie nodes of a depth (over four values) that classes stand in."""
+    """(doc_id, tree, node): the trie nodes of a depth (over four values) that classes stand in."""
     node = F.xxhash64("tree", F.lit(depth), "high", F.shiftright("low", 16 * (LABEL - depth)))
-    return found.where(F.col("matched") >= depth).select("doc_id", node.alias("node"))
+    return found.where(F.col("matched") >= depth).select("doc_id", "tree", node.alias("node"))
 
 
 def hubs_of(members: DataFrame) -> DataFrame:
@@ -194,18 +194,19 @@ def depths(classes: DataFrame, met: DataFrame) -> DataFrame:
 
 
 def nodes(classes: DataFrame) -> DataFrame:
-    """(doc_id, node, hub): the nodes in which classes meet, each class at its own depth."""
+    """(doc_id, node, hub): the nodes in which classes meet, each class at its own depth. In a tree a class
+    is told with its shallowest node only, which holds all that share deeper ones with it."""
     found = cut(branches(classes))
     members = at_depth(found, START)
-    first = cut(members.join(hubs_of(members), "node").select("doc_id", "node", "hub"))
+    first = cut(members.join(hubs_of(members), "node").select("doc_id", "tree", F.lit(START).alias("depth"), "node", "hub"))
     short = cut(depths(classes, first.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()))
     out = first
     for d in range(START - 1, SHORTEST - 1, -1):
         wide = at_depth(found, d)
         asked = wide.join(short.where(F.col("depth") <= d).select("doc_id"), "doc_id", "left_semi").select("node").distinct()
         wide = wide.join(asked, "node", "left_semi")
-        out = out.unionByName(wide.join(hubs_of(wide), "node").select("doc_id", "node", "hub"))
-    return out
+        out = out.unionByName(wide.join(hubs_of(wide), "node").select("doc_id", "tree", F.lit(d).alias("depth"), "node", "hub"))
+    return out.groupBy("doc_id", "tree").agg(F.min(F.struct("depth", "node", "hub")).alias("n")).select("doc_id", "n.node", "n.hub")
 
 
 def same_edges(a: DataFrame) -> tuple:
