@@ -213,15 +213,33 @@ def elbow(df: DataFrame, key: str, most: int, seed: int = 42) -> list[float]:
     return [kmeans(df, key, k, seed=seed, starts=3).inertia[-1] for k in range(1, most + 1)]
 
 
-def silhouette(df: DataFrame, key: str, label: str, blocks: int = 8) -> DataFrame:
-    """Mean silhouette. Distances are summed by (row, other label) block by block; pairs never leave it."""
-    rows = df.select(F.col(key).alias("a"), F.col(label).alias("_la"), F.col("features").alias("_fa"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_x"))
-    left = rows.withColumn("_y", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = rows.select(F.col("a").alias("b"), F.col("_la").alias("_lb"), F.col("_fa").alias("_fb"), F.col("_x").alias("_y")).withColumn("_x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = left.join(right, ["_x", "_y"]).where("a <> b")
-    means = pairs.groupBy("a", "_la", "_lb").agg(F.avg(euclidean(F.col("_fa"), F.col("_fb"))).alias("_m"))
-    each = means.groupBy("a").agg(F.coalesce(F.max(F.when(F.col("_la") == F.col("_lb"), F.col("_m"))), F.lit(0.0)).alias("own"), F.min(F.when(F.col("_la") != F.col("_lb"), F.col("_m"))).alias("other"))
-    return each.agg(F.avg((F.col("other") - F.col("own")) / (F.greatest("own", "other") + EPS)).alias("silhouette"))
+def silhouette(df: DataFrame, key: str, label: str, block_rows: int = 1024) -> DataFrame:
+    """Mean silhouette. Rows are dealt to blocks of about `block_rows`; a task takes two blocks, works out
+    their distances as matrices, a few rows at a time, and returns sums by (row, other label); pairs never
+    leave it. Quadratic by definition."""
+    blocks = max(1, -(-df.count() // block_rows))
+    rows = df.select(F.col(key).alias("a"), F.col(label).alias("own"), F.col("features").alias("x"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    left = rows.select("*", other).select("a", "own", "x", F.lit(True).alias("asks"), F.col("block").alias("i"), F.col("other").alias("j"))
+    right = rows.select("*", other).select("a", "own", "x", F.lit(False).alias("asks"), F.col("other").alias("i"), F.col("block").alias("j"))
+
+    def summed(g: pd.DataFrame) -> pd.DataFrame:
+        q, b = g[g["asks"]], g[~g["asks"]]
+        if not len(q) or not len(b):
+            return pd.DataFrame({"a": [], "own": [], "other": [], "total": [], "n": []}).astype({"total": float, "n": int})
+        labels, at = np.unique(b["own"], return_inverse=True)
+        y, member = np.stack(b["x"].to_list()), np.eye(len(labels))[at]
+        totals = np.vstack([np.sqrt(((np.asarray(x)[None] - y) ** 2).sum(1)) @ member for x in q["x"]])
+        counts = np.tile(member.sum(0).astype(int), (len(q), 1))
+        same = q["a"].to_numpy()[:, None] == b["a"].to_numpy()[None]
+        counts -= (same @ member).astype(int)
+        return pd.DataFrame({"a": np.repeat(q["a"].to_numpy(), len(labels)), "own": np.repeat(q["own"].to_numpy(), len(labels)), "other": np.tile(labels, len(q)), "total": totals.ravel(), "n": counts.ravel()})
+
+    kinds = dict(rows.dtypes)
+    sums = left.unionByName(right).groupBy("i", "j").applyInPandas(summed, f"a {kinds['a']}, own {kinds['own']}, other {kinds['own']}, total double, n bigint")
+    means = sums.groupBy("a", "own", "other").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("m"))
+    each = means.groupBy("a").agg(F.coalesce(F.max(F.when(F.col("own") == F.col("other"), F.col("m"))), F.lit(0.0)).alias("near"), F.min(F.when(F.col("own") != F.col("other"), F.col("m"))).alias("far"))
+    return each.agg(F.avg((F.col("far") - F.col("near")) / (F.greatest("near", "far") + EPS)).alias("silhouette"))
 
 
 def centroids(df: DataFrame, label: str, width: int) -> DataFrame:

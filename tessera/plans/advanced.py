@@ -42,14 +42,8 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 BAG = f"(SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(w) AS token FROM {WORDS}) GROUP BY ALL)"
 
 
-@query(f"SELECT doc_id, token, n FROM {BAG} WHERE doc_id < 200")
+@query(f"SELECT doc_id, token, n FROM {BAG}")
 def bag_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.bag_of_words(table(spark, sf_dir, "documents"), "doc_id", "text").where("doc_id < 200")
-
-
-@query()
-def bag_of_words_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents; bag_of_words stays with the ids of its SQL."""
     return text.bag_of_words(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
@@ -132,16 +126,8 @@ def attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("s", "p", F.transform("out", lambda x: r(x, 1e9)).alias("out"))
 
 
-@query('SELECT doc_id, k AS "at", vector FROM (SELECT doc_id, unnest(range(5)) AS k FROM documents WHERE doc_id < 50) JOIN (SELECT vec_id, embedding AS vector FROM embeddings) ON vec_id = (doc_id * 7 + k) % 100')
+@query('SELECT doc_id, k AS "at", vector FROM (SELECT doc_id, unnest(range(5)) AS k FROM documents) JOIN (SELECT vec_id, embedding AS vector FROM embeddings) ON vec_id = (doc_id * 7 + k) % (SELECT max(vec_id) + 1 FROM embeddings)')
 def embedding_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("doc_id < 50").select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: (F.col("doc_id") * 7 + k) % 100).alias("ids"))
-    weights = table(spark, sf_dir, "embeddings").where("vec_id < 100").select(F.col("vec_id").alias("token"), F.col("embedding").alias("vector"))
-    return transformer.embed(docs, weights, "doc_id", "ids").select("doc_id", F.col("at").cast("bigint").alias("at"), "vector")
-
-
-@query()
-def embedding_lookup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents over all vectors; embedding_lookup stays with the ids of its SQL."""
     weights = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("token"), F.col("embedding").alias("vector"))
     n = F.broadcast(weights.agg((F.max("token") + 1).alias("n")))
     docs = table(spark, sf_dir, "documents").join(n).select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.pmod(F.col("doc_id") * 7 + k, F.col("n"))).alias("ids"))

@@ -242,49 +242,29 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", V.doubles("embedding").alias("features"))
 
 
-NEAR = "(SELECT q.vec_id AS q, b.vec_id AS b, b.label AS label, list_distance(q.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS k FROM embeddings q JOIN embeddings b ON b.vec_id % 20 <> 0 WHERE q.vec_id % 20 = 0)"
-
-
-@query(f"SELECT q AS vec_id, b AS near_id, {R('d', 1e6)} AS distance FROM {NEAR} WHERE k <= 5")
-def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = vectors(spark, sf_dir)
-    got = models.nearest(v.where("vec_id % 20 = 0").select("vec_id", "features"), v.where("vec_id % 20 <> 0").select(F.col("vec_id").alias("near_id"), "features"), "vec_id", "near_id", 5)
-    return rounded(got.select("vec_id", "near_id", "distance"), "distance", scale=1e6)
-
-
-@query(f"SELECT vec_id, label AS predicted FROM (SELECT q AS vec_id, label, row_number() OVER (PARTITION BY q ORDER BY count(*) DESC, label) AS r FROM {NEAR} WHERE k <= 5 GROUP BY q, label) WHERE r = 1")
-def knn_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = vectors(spark, sf_dir)
-    return models.knn_class(v.where("vec_id % 20 = 0"), v.where("vec_id % 20 <> 0").select(F.col("vec_id").alias("b"), "features", "label"), "vec_id", "b", "label")
-
-
-@query(f"SELECT q AS vec_id, {R('avg(label)', 1e6)} AS predicted FROM {NEAR} WHERE k <= 5 GROUP BY q")
-def knn_regress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = vectors(spark, sf_dir)
-    return rounded(models.knn_regress(v.where("vec_id % 20 = 0"), v.where("vec_id % 20 <> 0").select(F.col("vec_id").alias("b"), "features", "label"), "vec_id", "b", "label"), "predicted", scale=1e6)
+NEAR = "(SELECT q.vec_id AS q, b.vec_id AS b, b.label AS label, list_distance(q.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS k FROM embeddings q JOIN embeddings b ON q.vec_id % 20 = 0)"
 
 
 def asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Queries (ids divisible by 20) and all rows as their base, the query row itself among them; the
-    queries above stay with the reduced base of their SQL."""
+    """Queries (ids divisible by 20) and all rows as their base, the query row itself among them."""
     v = vectors(spark, sf_dir)
     return v.where("vec_id % 20 = 0"), v.select(F.col("vec_id").alias("near_id"), "features", "label")
 
 
-@query()
-def nearest_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"SELECT q AS vec_id, b AS near_id, {R('d', 1e6)} AS distance FROM {NEAR} WHERE k <= 5")
+def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, base = asked(spark, sf_dir)
     got = models.nearest(q.select("vec_id", "features"), base.drop("label"), "vec_id", "near_id", 5)
     return rounded(got.select("vec_id", "near_id", "distance"), "distance", scale=1e6)
 
 
-@query()
-def knn_class_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"SELECT vec_id, label AS predicted FROM (SELECT q AS vec_id, label, row_number() OVER (PARTITION BY q ORDER BY count(*) DESC, label) AS r FROM {NEAR} WHERE k <= 5 GROUP BY q, label) WHERE r = 1")
+def knn_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.knn_class(*asked(spark, sf_dir), "vec_id", "near_id", "label")
 
 
-@query()
-def knn_regress_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"SELECT q AS vec_id, {R('avg(label)', 1e6)} AS predicted FROM {NEAR} WHERE k <= 5 GROUP BY q")
+def knn_regress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.knn_regress(*asked(spark, sf_dir), "vec_id", "near_id", "label"), "predicted", scale=1e6)
 
 
@@ -303,10 +283,23 @@ def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.silhouette(vectors(spark, sf_dir), "vec_id", "label"), "silhouette", scale=1e6)
 
 
-@query()
+COORDS = "(SELECT vec_id, label, unnest(range(64)) AS j, unnest(embedding::DOUBLE[]) AS x FROM embeddings)"
+CENTERS = f"(SELECT label, j, avg(x) AS c, count(*) AS n FROM {COORDS} GROUP BY label, j)"
+
+
+@query(
+    f"""WITH v AS MATERIALIZED {COORDS}, c AS MATERIALIZED {CENTERS},
+    d AS (SELECT vec_id, v.label, sum((x - c) * (x - c)) AS q FROM v JOIN c ON v.label = c.label AND v.j = c.j GROUP BY ALL),
+    s AS (SELECT label, avg(sqrt(q)) AS s, count(*) AS n, sum(q) AS w FROM d GROUP BY label),
+    m AS (SELECT a.label AS a, b.label AS b, sqrt(sum((a.c - b.c) * (a.c - b.c))) AS m FROM c a JOIN c b ON a.j = b.j AND a.label <> b.label GROUP BY ALL),
+    o AS (SELECT j, avg(x) AS o FROM v GROUP BY j),
+    between_ AS (SELECT sum(n * (c - o) * (c - o)) AS b FROM c JOIN o ON c.j = o.j)
+    SELECT (SELECT {R('avg(r)', 1e6)} FROM (SELECT max((x.s + y.s) / (m + 1e-10)) AS r FROM m JOIN s x ON x.label = m.a JOIN s y ON y.label = m.b GROUP BY m.a)) AS davies_bouldin,
+           (SELECT {R('(SELECT b FROM between_) / (count(*) - 1) / (sum(w) / (sum(n) - count(*)))', 1e6)} FROM s) AS calinski_harabasz"""
+)
 def cluster_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir).cache()
-    return spark.createDataFrame([(models.davies_bouldin(v, "label", 64), models.calinski_harabasz(v, "label", 64))], "davies_bouldin double, calinski_harabasz double")
+    return rounded(spark.createDataFrame([(models.davies_bouldin(v, "label", 64), models.calinski_harabasz(v, "label", 64))], "davies_bouldin double, calinski_harabasz double"), "davies_bouldin", "calinski_harabasz", scale=1e6)
 
 
 NB = f"(SELECT label, ln(count(*) / (SELECT count(*) FROM embeddings)::DOUBLE) AS prior, " + ", ".join(f"avg(x{j}) AS m{j}, var_pop(x{j}) + 1e-9 AS v{j}" for j in range(6)) + f" FROM {WIDE} GROUP BY label)"  # noqa: F541

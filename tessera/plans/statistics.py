@@ -98,14 +98,8 @@ def test_sql(rel: str, statistic: str, p: str, df: str) -> str:
     return f"SELECT {R(statistic, 1e6)} AS statistic, {R(p, 1e6)} AS p_value, {R(df, 1e6)} AS df FROM ({rel})"
 
 
-@query(test_sql("SELECT *, (m - 50) / (s / sqrt(n) + 1e-10) AS t, n - 1 AS d FROM (SELECT count(value)::DOUBLE AS n, avg(value) AS m, stddev_samp(value) AS s FROM events WHERE user_id = 1)", "t", t_upper("t", "d"), "d"))
+@query(test_sql("SELECT *, (m - 50) / (s / sqrt(n) + 1e-10) AS t, n - 1 AS d FROM (SELECT count(value)::DOUBLE AS n, avg(value) AS m, stddev_samp(value) AS s FROM events)", "t", t_upper("t", "d"), "d"))
 def t_test_one_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tested(stats.t_test_one_sample(table(spark, sf_dir, "events").where("user_id = 1"), "value", 50.0))
-
-
-@query()
-def t_test_one_sample_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events; t_test_one_sample stays with the user of its SQL."""
     return tested(stats.t_test_one_sample(table(spark, sf_dir, "events"), "value", 50.0))
 
 

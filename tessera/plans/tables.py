@@ -78,15 +78,8 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame.positions(table(spark, sf_dir, "events").select("event_id", "ts"), ["ts", "event_id"]).select("event_id", F.col("pos").cast("bigint").alias("pos"))
 
 
-@query(f"SELECT event_id, row_number() OVER (ORDER BY value DESC NULLS LAST, event_type, event_id) AS place FROM ({HOLES}) QUALIFY place <= 500")
+@query(f"SELECT event_id, row_number() OVER (ORDER BY value DESC NULLS LAST, event_type, event_id) AS place FROM ({HOLES})")
 def sort_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = frame.sort(holes(spark, sf_dir), ["value", "event_type", "event_id"], [False, True, True]).limit(500)
-    return frame.positions(top, [F.col("value").desc_nulls_last(), "event_type", "event_id"]).select("event_id", (F.col("pos") + 1).cast("bigint").alias("place"))
-
-
-@query()
-def sort_multi_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rows; sort_multi stays with the first 500 of its SQL."""
     placed = frame.positions(holes(spark, sf_dir), [F.col("value").desc_nulls_last(), "event_type", "event_id"])
     return placed.select("event_id", (F.col("pos") + 1).cast("bigint").alias("place"))
 

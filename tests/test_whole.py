@@ -26,10 +26,10 @@ def folder(spark, tmp_path_factory):  # noqa: ANN001, ANN201
 
 def test_documents(spark, folder):  # noqa: ANN001
     run = lambda name: registry.QUERIES[name](spark, folder).collect()
-    assert {(r.doc_id, r.token): r.n for r in run("bag_of_words_whole")} == {(k, w): n for k, t in DOCS for w, n in Counter(t.split()).items()}
+    assert {(r.doc_id, r.token): r.n for r in run("bag_of_words")} == {(k, w): n for k, t in DOCS for w, n in Counter(t.split()).items()}
     held = {i: v for i, v, _ in VECTORS}
     want = {(k, j): held[(k * 7 + j) % 110] for k, _ in DOCS for j in range(5) if (k * 7 + j) % 110 in held}
-    assert {(r.doc_id, r.at): list(r.vector) for r in run("embedding_lookup_whole") if r.vector is not None} == want
+    assert {(r.doc_id, r.at): list(r.vector) for r in run("embedding_lookup") if r.vector is not None} == want
     assert {r.doc_id for r in run("decoder_generate")} == {k for k, _ in DOCS}
 
 
@@ -49,10 +49,10 @@ def test_neighbours(spark, folder):  # noqa: ANN001
 def test_tables_and_vectors(spark, folder):  # noqa: ANN001
     run = lambda name: registry.QUERIES[name](spark, folder).collect()
     x = np.array([e[3] for e in EVENTS])
-    t = run("t_test_one_sample_whole")[0]
+    t = run("t_test_one_sample")[0]
     assert t.df == len(x) - 1 and t.statistic == pytest.approx((x.mean() - 50) / (x.std(ddof=1) / len(x) ** 0.5), abs=1e-5)
     order = sorted(EVENTS, key=lambda e: (e[0] % 7 == 0, 0 if e[0] % 7 == 0 else -e[3], e[2], e[0]))
-    assert {r.event_id: r.place for r in run("sort_multi_whole")} == {e[0]: k + 1 for k, e in enumerate(order)}
+    assert {r.event_id: r.place for r in run("sort_multi")} == {e[0]: k + 1 for k, e in enumerate(order)}
     counts = Counter(r.label for r in run("smote"))
     assert counts == {0: 12, 1: 21, 2: 11, 3: 21}
     clusters = {r.vec_id: r.cluster for r in run("dbscan")}
