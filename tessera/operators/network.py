@@ -203,6 +203,23 @@ class Last(Layer):
         return out
 
 
+def parameters(spark: SparkSession, named: dict[str, np.ndarray]) -> DataFrame:
+    """(name, place, value) of named arrays, to be written in any format."""
+    rows = [(n, i, float(v)) for n, a in named.items() for i, v in enumerate(a.ravel())]
+    return spark.createDataFrame(rows, "name string, place int, value double")
+
+
+def put_back(named: dict[str, np.ndarray], saved: DataFrame) -> None:
+    """Values of `parameters` put into arrays of the same names and sizes."""
+    found: dict[str, list[float]] = {}
+    for r in saved.where(F.col("name").isin(list(named))).orderBy("name", "place").toLocalIterator():
+        found.setdefault(r["name"], []).append(r["value"])
+    for n, a in named.items():
+        if len(found.get(n, ())) != a.size:
+            raise ValueError(f"{n}: {a.size} values wanted, {len(found.get(n, ()))} found")
+        a[...] = np.array(found[n]).reshape(a.shape)
+
+
 #: (loss by row, gradient by output) of outputs and targets.
 LOSSES: dict[str, tuple[Callable, Callable]] = {
     "mse": (lambda o, t: ((o - t) ** 2).mean(1), lambda o, t: 2 * (o - t) / o.shape[1]),
@@ -247,15 +264,12 @@ class Network:
         return losses
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """(layer, name, place, value) of all parameters."""
-        rows = [(k, n, i, float(v)) for (k, n), a in self.params().items() for i, v in enumerate(a.ravel())]
-        return spark.createDataFrame(rows, "layer int, name string, place int, value double")
+        """(name, place, value) of all parameters."""
+        return parameters(spark, {f"{k}.{n}": a for (k, n), a in self.params().items()})
 
     def restore(self, saved: DataFrame) -> Network:
         """Parameters of `table` put back."""
-        for (k, n), a in self.params().items():
-            rows = saved.where((F.col("layer") == k) & (F.col("name") == n)).orderBy("place").collect()
-            a[...] = np.array([r["value"] for r in rows]).reshape(a.shape)
+        put_back({f"{k}.{n}": a for (k, n), a in self.params().items()}, saved)
         return self
 
     def score(self, df: DataFrame, features: str = "features", out: str = "prediction", shape: Sequence[int] = ()) -> DataFrame:
@@ -285,3 +299,48 @@ def non_max_suppression(boxes: np.ndarray, scores: np.ndarray, overlap: float =
                 continue
         kept.append(int(i))
     return kept
+
+
+@dataclass
+class Detector:
+    """Objects on a grid by one network: for each of `grid` x `grid` cells and each anchor (width, height),
+    an offset (x, y) in the cell, a scale of the anchor (w, h), a confidence and a score for each class."""
+
+    network: Network
+    grid: int
+    classes: int
+    anchors: Sequence[tuple[float, float]]
+
+    def loss(self, output: np.ndarray, target: np.ndarray) -> float:
+        """The network's loss of one flat output against its target."""
+        return float(self.network.functions()[0](output.reshape(1, -1), target.reshape(1, -1))[0])
+
+    def boxes(self, output: np.ndarray) -> np.ndarray:
+        """Rows (x0, y0, x1, y1, score, class), the whole picture being 1 x 1."""
+        raw = output.reshape(self.grid, self.grid, len(self.anchors), 5 + self.classes)
+        rise = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        at = np.stack(np.meshgrid(np.arange(self.grid), np.arange(self.grid)), axis=2)[:, :, None]
+        center = (rise(raw[..., :2]) + at) / self.grid
+        half = np.asarray(self.anchors) * np.exp(np.clip(raw[..., 2:4], -10, 10)) / 2
+        kinds = rise(raw[..., 5:])
+        score = rise(raw[..., 4]) * kinds.max(-1)
+        return np.concatenate([center - half, center + half, score[..., None], kinds.argmax(-1)[..., None]], axis=-1).reshape(-1, 6)
+
+    def objects(self, output: np.ndarray, least: float = 0.5, overlap: float = 0.5) -> np.ndarray:
+        """Boxes of `least` score or more, those that overlap a better one of their class left out."""
+        found = self.boxes(output)
+        kept = [found[of][non_max_suppression(found[of, :4], found[of, 4], overlap, least)] for of in (found[:, 5] == k for k in range(self.classes))]
+        rows = np.concatenate(kept)
+        return rows[np.argsort(-rows[:, 4], kind="stable")]
+
+    def predict_objects(self, df: DataFrame, features: str, shape: Sequence[int], least: float = 0.5, overlap: float = 0.5, out: str = "objects") -> DataFrame:
+        """Objects of every row of a table, a batch at a time."""
+        held = df.sparkSession.sparkContext.broadcast(self)
+
+        def run(column: pd.Series) -> pd.Series:
+            if not len(column):
+                return pd.Series([], dtype="object")
+            x = np.stack([np.asarray(v, dtype=float).reshape(shape) for v in column])
+            return pd.Series([held.value.objects(o, least, overlap).tolist() for o in held.value.network.predict(x)], dtype="object")
+
+        return df.withColumn(out, F.pandas_udf(run, "array<array<double>>")(features))

@@ -164,3 +164,48 @@ def bayesian_search(spark: SparkSession, ranges: Sequence[Range], objective: Cal
         seen.append(u)
         rows.append(run({r.name: r.at(float(v)) for r, v in zip(ranges, u)}, objective))
     return trials(spark, rows, minimise)
+
+
+def as_text(title: str, rows: Sequence[Sequence[object]], head: Sequence[str], places: int = 4) -> str:
+    """A title and aligned columns, numbers with `places` decimals."""
+    said = [list(head), *([f"{v:.{places}f}" if isinstance(v, float) else "" if v is None else str(v) for v in r] for r in rows)]
+    wide = [max(len(r[c]) for r in said) for c in range(len(head))]
+    lines = ["  ".join(v.ljust(w) if not k else v.rjust(w) for k, (v, w) in enumerate(zip(r, wide))).rstrip() for r in said]
+    return "\n".join([title, *lines]) + "\n"
+
+
+def frame_text(title: str, df: DataFrame, most: int = 1000) -> str:
+    """Text of a report's frame (a row a class, feature, model, column, fold or trial), `most` rows of it."""
+    rows = df.limit(most).collect()
+    return as_text(title, [[", ".join(f"{k}={v:.4g}" for k, v in sorted(x.items())) if isinstance(x, dict) else x for x in r] for r in rows], df.columns)
+
+
+def confusion_text(rates: DataFrame) -> str:
+    """The four counts as a square, and what follows from them. rates: as metrics.rates gives them."""
+    r = rates.first().asDict()
+    square = as_text("confusion matrix", [("true 1", r["tp"], r["fn"]), ("true 0", r["fp"], r["tn"])], ["", "said 1", "said 0"])
+    return square + "".join(f"{k}: {r[k]:.4f}\n" for k in ("accuracy", "precision", "recall", "f1", "specificity", "mcc", "kappa"))
+
+
+def class_report_text(report: DataFrame, means: DataFrame) -> str:
+    """Rows by class, then the means. report and means: as metrics.classification_report and report_means give them."""
+    tail = means.first().asDict()
+    return frame_text("classes", report.orderBy("class")) + "".join(f"{k}: {v:.4f}\n" for k, v in tail.items())
+
+
+def folds_text(scores: DataFrame) -> str:
+    """Scores by fold, their mean and spread. scores: as cross_validate gives them."""
+    s = [r["score"] for r in scores.orderBy("fold").collect()]
+    return as_text("folds", list(enumerate(s)), ["fold", "score"]) + f"mean: {np.mean(s):.4f}\nspread: {np.std(s, ddof=min(1, len(s) - 1)):.4f}\n"
+
+
+def search_text(found: DataFrame) -> str:
+    """Trials, best first, and the best one's parameters. found: as a search gives it."""
+    best = found.first()
+    head = f"best: trial {best['trial']}, score {best['score']:.4f}, " + ", ".join(f"{k}={v:.4g}" for k, v in sorted(best["params"].items()))
+    return frame_text("trials", found.drop("seconds")) + head + "\n"
+
+
+def residuals_text(found: DataFrame) -> str:
+    """What `residuals` tells, a line each."""
+    return "residuals\n" + "".join(f"{k}: {v:.4f}\n" if isinstance(v, float) else f"{k}: {v}\n" for k, v in found.first().asDict().items())

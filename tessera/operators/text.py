@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Share of the documents from which a token counts as common.
+COMMON = 0.001
+
+
 def tokens(text: Column) -> Column:
     """Lower-case words without punctuation; empty ones go."""
     bare = F.trim(F.regexp_replace(F.lower(text), r"\p{Punct}", ""))
@@ -41,5 +45,10 @@ def tfidf(df: DataFrame, key: str, text: str) -> DataFrame:
     n = df.count()
     bag = bag_of_words(df, key, text)
     docs = bag.groupBy("token").agg(F.count("*").alias("df"))
-    sizes = Window.partitionBy(key)
-    return bag.withColumn("size", F.sum("n").over(sizes)).join(docs, "token").select(key, "token", (F.col("n") / F.col("size") * F.log(F.lit(float(n)) / F.col("df"))).alias("weight"))
+    bag = bag.withColumn("size", F.sum("n").over(Window.partitionBy(key)))
+    # tokens of COMMON of the documents or more are at most (tokens a document) / COMMON: they go to every task
+    common = docs.where(F.col("df") >= COMMON * n)
+    known = bag.join(F.broadcast(common), "token", "left")
+    rare = known.where(F.col("df").isNull()).drop("df").join(docs.where(F.col("df") < COMMON * n), "token")
+    both = known.where(F.col("df").isNotNull()).unionByName(rare)
+    return both.select(key, "token", (F.col("n") / F.col("size") * F.log(F.lit(float(n)) / F.col("df"))).alias("weight"))

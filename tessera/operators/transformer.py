@@ -7,10 +7,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import dot
+from tessera.operators.network import parameters, put_back
 
 
 def attention(df: DataFrame, by: Sequence[str], place: str, width: int, causal: bool = True, query: str = "q", key: str = "k", value: str = "v") -> DataFrame:
@@ -75,6 +76,17 @@ class Decoder:
                 self.params |= {f"{n}.{name}.g": np.ones(width), f"{n}.{name}.b": np.zeros(width)}
         self.clear()
 
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(name, place, value) of all parameters: embedding, blocks, norms and head, of which a part is
+        taken by its name's beginning."""
+        return parameters(spark, self.params)
+
+    def restore(self, saved: DataFrame, part: str = "") -> Decoder:
+        """Parameters of `table` put back, or those of one part; the cache is cleared."""
+        put_back({n: a for n, a in self.params.items() if n.startswith(part)}, saved)
+        self.clear()
+        return self
+
     def clear(self) -> None:
         self.cache: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros((0, self.width)), np.zeros((0, self.width))) for _ in range(self.blocks)]
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -109,6 +109,19 @@ class Boosted:
     def rows(self) -> list[tuple]:
         return [(k, *r) for k, t in enumerate(self.trees) for r in t.rows()]
 
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(tree, node, feature, threshold, value) of all trees; tree -1 holds base and rate."""
+        return spark.createDataFrame([(-1, 0, None, float(self.rate), float(self.base)), *self.rows()], "tree int, node int, feature string, threshold double, value double")
+
+
+def load_boosted(saved: DataFrame) -> Boosted:
+    """The ensemble of a `Boosted.table`."""
+    by: dict[int, list[tuple]] = {}
+    for r in saved.orderBy("tree", "node").toLocalIterator():
+        by.setdefault(r["tree"], []).append(tuple(r)[1:])
+    _, _, rate, base = by.pop(-1)[0]
+    return Boosted(base, rate, [from_rows(rows) for _, rows in sorted(by.items())])
+
 
 LOSSES: dict[str, Callable[[Column, Column], tuple[Column, Column]]] = {
     "mse": lambda y, f: (2 * (f - y), F.lit(2.0)),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -162,6 +163,38 @@ def lstm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return net.score(vectors(spark, sf_dir), shape=(8, 8)).select("vec_id", "prediction")
 
 
+#: Bound of the example's training rows: documents of the labels, lowest by a hash.
+EXAMPLE_ROWS = 400
+
+
+@query()
+def language_example(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled texts end to end: vocabulary over all documents, sequences, a split in 80 and 20, a
+    recurrent network trained on a bounded part of the larger one, and a score for every document."""
+    import numpy as np
+
+    from tessera.operators.network import LSTM, Dense, Last, Network
+
+    docs, length, width = table(spark, sf_dir, "documents").select("doc_id", "text"), 24, 8
+    vocab = text.vocabulary(docs, "doc_id", "text", 2000)
+    ids = text.sequences(docs, "doc_id", "text", vocab, length)
+    embedding = np.random.default_rng(4).normal(0, 0.5, (2002, width))
+    train = ids.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").where(F.pmod(F.xxhash64("doc_id"), F.lit(5)) != 0)
+    rows = train.orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(EXAMPLE_ROWS).collect()
+    net = Network([LSTM(width, 6, 1), Last(), Dense(6, 1, "sigmoid", 2)], "bce")
+    if rows:
+        net.train(embedding[np.array([r["ids"] for r in rows])], np.array([[float(r["quality"])] for r in rows]), epochs=3, batch=16)
+    held = spark.sparkContext.broadcast((net, embedding))
+
+    @F.pandas_udf("double")
+    def scored(batch: pd.Series) -> pd.Series:
+        model, table_ = held.value
+        return pd.Series(model.predict(table_[np.stack(batch.to_list())]).ravel() if len(batch) else [], dtype="float64")
+
+    got = ids.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("held_out"), scored("ids").alias("score"))
+    return got.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 @query()
 def cnn_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.operators.network import Conv, Dense, Flatten, Network

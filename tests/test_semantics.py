@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars, vectors
-from tessera.operators import frame, linalg, models, network, ordered, prep, report, stats, timeseries, transformer, trees
+from tessera.operators import frame, linalg, metrics, models, network, ordered, prep, report, stats, timeseries, transformer, trees
 from tessera.operators.pipeline import Pipeline
 from tessera.sources import tables
 
@@ -240,6 +240,103 @@ def test_tree_rows_round_trip(spark):  # noqa: ANN001
     assert trees.from_rows(model.trees[0].rows()) == model.trees[0]
 
 
+def test_saved_parameters(spark, tmp_path):  # noqa: ANN001
+    m = transformer.Decoder(20, 8, 2, 2, 16, seed=1)
+    m.table(spark).write.parquet(str(tmp_path / "decoder"))
+    saved = spark.read.parquet(str(tmp_path / "decoder"))
+    other = transformer.Decoder(20, 8, 2, 2, 16, seed=2)
+    assert not np.allclose(other.forward([1, 2]), m.forward([1, 2]))
+    other.restore(saved, "embed")
+    assert (other.params["embed"] == m.params["embed"]).all() and not (other.params["0.q"] == m.params["0.q"]).all()
+    assert np.allclose(other.restore(saved).forward([1, 2]), m.forward([1, 2]))
+    with pytest.raises(ValueError, match="values wanted"):
+        transformer.Decoder(21, 8, 2, 2, 16).restore(saved)
+    df = spark.createDataFrame([(float(i), float(i > 5)) for i in range(10)], "x double, y double")
+    model = trees.boost(df, ["x"], "y", rounds=3, depth=2)
+    model.table(spark).write.parquet(str(tmp_path / "trees"))
+    assert trees.load_boosted(spark.read.parquet(str(tmp_path / "trees"))) == model
+
+
+def test_detector(spark):  # noqa: ANN001
+    fixed = network.Network([network.Flatten()])
+    d = network.Detector(fixed, 2, 3, [(0.2, 0.4)])
+    raw = np.full((2, 2, 1, 8), -9.0)
+    raw[1, 0, 0] = [0, 0, 0, 0, 9, -9, 9, -9]
+    raw[0, 1, 0] = [0, 0, np.log(2), 0, 4, 9, -9, -9]
+    (a, b) = d.objects(raw.ravel())
+    assert a[:4] == pytest.approx([0.15, 0.55, 0.35, 0.95]) and a[5] == 1 and a[4] > 0.99
+    assert b[:4] == pytest.approx([0.55, 0.05, 0.95, 0.45]) and b[5] == 0 and 0.9 < b[4] < a[4]
+    assert len(d.objects(raw.ravel(), least=0.999)) == 1 and len(d.objects(np.full(32, -9.0))) == 0
+    assert d.loss(np.zeros(4), np.array([1.0, 0, 0, 1])) == 0.5
+    rows = spark.createDataFrame([(1, raw.ravel().tolist())], "id int, x array<double>")
+    got = d.predict_objects(rows, "x", (1, 4, 8)).first()
+    assert np.allclose(got.objects, [a, b])
+
+
+def test_texts_of_reports(spark):  # noqa: ANN001
+    rows = spark.createDataFrame([(1.0, 0.9), (1.0, 0.2), (0.0, 0.1), (0.0, 0.8), (0.0, 0.3)], "y double, s double")
+    said = report.confusion_text(metrics.rates(metrics.confusion(rows, "y", "s")))
+    assert "true 1       1       1" in said and "accuracy: 0.6000" in said
+    kinds = spark.createDataFrame([(0, 0), (0, 1), (1, 1)], "t int, g int")
+    of = metrics.classification_report(kinds, "t", "g")
+    said = report.class_report_text(of, metrics.report_means(of))
+    assert said.startswith("classes\nclass") and "macro_f1: 0.6667" in said
+    assert "mean: 2.0000\nspread: 1.4142" in report.folds_text(spark.createDataFrame([(0, 1.0), (1, 3.0)], "fold int, score double"))
+    found = report.grid_search(spark, {"a": [1.0, 2.0, 3.0]}, lambda p: (p["a"] - 2) ** 2)
+    assert "best: trial 1, score 0.0000, a=2" in report.search_text(found)
+    assert "model" in report.frame_text("models", report.comparison(spark, [report.ModelReport("m", {"f1": 0.5})]))
+    line = spark.createDataFrame([(float(i), float(i) + (-1) ** i, i) for i in range(20)], "y double, g double, k int")
+    assert "durbin_watson: 3.8" in report.residuals_text(report.residuals(line, "y", "g", ["k"]))
+    assert report.as_text("none", [], ["a"]) == "none\na\n"
+
+
+def test_logistic_regression_by_numpy(spark):  # noqa: ANN001
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(60, 2))
+    y = (x[:, 0] - x[:, 1] + rng.normal(size=60) > 0).astype(float)
+    w, a = np.zeros(3), np.column_stack([np.ones(60), x])
+    for _ in range(8):
+        w = w - 0.5 * (a.T @ (1 / (1 + np.exp(-a @ w)) - y) / 60 + 0.1 * np.array([0, *w[1:]]))
+    df = spark.createDataFrame([(float(p), float(q), float(t)) for (p, q), t in zip(x, y)], "p double, q double, y double")
+    got = models.logistic_regression(df, ["p", "q"], "y", 0.5, 8, 0.1)
+    assert np.allclose(got, w, atol=1e-9)
+    p = df.select(models.probability(["p", "q"], got).alias("p")).collect()
+    assert np.allclose([r.p for r in p], 1 / (1 + np.exp(-a @ w)))
+
+
+@pytest.mark.parametrize("share", [0.0, 0.5, 1.0])
+def test_elastic_net_is_the_least_penalised_fit(spark, share):  # noqa: ANN001
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(80, 2)) * [1.0, 5.0]
+    y = 2 * x[:, 0] + 0.1 * x[:, 1] + rng.normal(size=80)
+    df = spark.createDataFrame([(float(p), float(q), float(t)) for (p, q), t in zip(x, y)], "p double, q double, y double").coalesce(1)
+    got = models.elastic_net(df, ["p", "q"], "y", 0.3, share)
+    sx, sy = x.std(0), y.std()
+
+    def cost(b: np.ndarray) -> float:  # squared error and penalty on standardised columns, as the library states them
+        e = (y - y.mean()) / sy - ((x - x.mean(0)) / sx) @ b
+        return float((e**2).mean() / 2 + 0.3 / sy * (share * np.abs(b).sum() + (1 - share) * (b**2).sum() / 2))
+
+    own = np.array([float(c) for c in got.coefficients]) * sx / sy
+    step = 1e-3
+    assert all(cost(own) <= cost(own + step * np.array(d)) + 1e-9 for d in ((1, 0), (-1, 0), (0, 1), (0, -1)))
+
+
+@pytest.mark.parametrize("blocks", [3, 1000])
+def test_silhouette_by_numpy(spark, blocks):  # noqa: ANN001
+    rng = np.random.default_rng(2)
+    rows = [(i, i % 3 if i else 7, (rng.normal(size=4) + i % 3).tolist()) for i in range(25)]
+    x, lab = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
+    d, out = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), []
+    for i in range(25):
+        same = (lab == lab[i]) & (np.arange(25) != i)
+        a = d[i][same].mean() if same.any() else 0.0
+        b = min(d[i][lab == k].mean() for k in set(lab) - {lab[i]})
+        out.append((b - a) / (max(a, b) + 1e-10))
+    df = spark.createDataFrame(rows, "id long, label int, features array<double>")
+    assert models.silhouette(df, "id", "label", blocks).first()[0] == pytest.approx(np.mean(out))
+
+
 def test_pipeline_round_trip(spark, tmp_path):  # noqa: ANN001
     df = spark.createDataFrame([(i, float(i), float(i * i)) for i in range(6)], "id int, a double, b double")
     p = Pipeline(["a", "b"]).add("impute", how="median").add("minmax").add("pca", parts=2)
