@@ -150,7 +150,8 @@ class Counter:
             self.model = parse_model(f.read())
         self.normalizer = Normalizer(self.model)
         m = self.model
-        self.simple = m.escape and m.words_apart and not (m.charsmap or m.remove_extra or m.suffix or self.normalizer.own)
+        self.apart = m.words_apart
+        self.simple = m.escape and self.apart and not (m.charsmap or m.remove_extra or m.suffix or self.normalizer.own)
         self.transducer = Transducer(m)
         self.words: dict[str, int] = {}
         self.marked = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -179,7 +180,7 @@ class Counter:
             return ChunkMap(chunk, False)
         last = next(k for k in range(len(chunk) - 1, 0, -1) if self.forgets_at(chunk, k))
         count, get, inside = 0, self.words.get, chunk[first:last]
-        if self.model.words_apart:
+        if self.apart:
             for w in self.marked.findall(inside):
                 n = get(w)
                 count += self.word(w) if n is None else n
