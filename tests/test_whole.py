@@ -38,12 +38,12 @@ def test_neighbours(spark, folder):  # noqa: ANN001
     for i, v, _ in VECTORS:
         if i % 20 == 0:
             want[i] = sorted((float(np.linalg.norm(np.subtract(v, w))), j) for j, w, _ in VECTORS)[:5]
-    got = registry.QUERIES["nearest_whole"](spark, folder).collect()
+    got = registry.QUERIES["nearest"](spark, folder).collect()
     assert {(r.vec_id, r.near_id) for r in got} == {(i, j) for i, near in want.items() for _, j in near}
-    found = {r.vec_id: r.predicted for r in registry.QUERIES["knn_regress_whole"](spark, folder).collect()}
+    found = {r.vec_id: r.predicted for r in registry.QUERIES["knn_regress"](spark, folder).collect()}
     assert found == pytest.approx({i: np.mean([labels[j] for _, j in near]) for i, near in want.items()}, abs=1e-6)
     votes = {i: Counter(labels[j] for _, j in near) for i, near in want.items()}
-    assert {r.vec_id: r.predicted for r in registry.QUERIES["knn_class_whole"](spark, folder).collect()} == {i: min(c, key=lambda x: (-c[x], x)) for i, c in votes.items()}
+    assert {r.vec_id: r.predicted for r in registry.QUERIES["knn_class"](spark, folder).collect()} == {i: min(c, key=lambda x: (-c[x], x)) for i, c in votes.items()}
 
 
 def test_tables_and_vectors(spark, folder):  # noqa: ANN001
