@@ -88,6 +88,20 @@ def positions(df: DataFrame, order: Keys, out: str = "pos", parts: int | None =
     return shifted.withColumn(out, F.col("_in") - 1 + F.coalesce("_before", F.lit(0))).drop("_part", "_in", "_before")
 
 
+def running(df: DataFrame, order: Keys, sums: dict[str, Column], parts: int | None = None) -> DataFrame:
+    """Sums up to each row, itself among them, in a total order: as `positions`, summed within ranges and
+    shifted by the sums of the ranges before."""
+    keys = ascending(order)
+    n = parts or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = df.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id())
+    totals = dealt.groupBy("_part").agg(*(F.sum(c).alias(f"_t{k}") for k, c in enumerate(sums.values())))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    before = totals.select("_part", *(F.sum(f"_t{k}").over(earlier).alias(f"_b{k}") for k in range(len(sums))))
+    inside = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    own = dealt.withColumns({name: F.sum(c).over(inside) for name, c in sums.items()}).join(F.broadcast(before), "_part")
+    return own.withColumns({name: F.col(name) + F.coalesce(f"_b{k}", F.lit(0)) for k, name in enumerate(sums)}).drop("_part", *(f"_b{k}" for k in range(len(sums))))
+
+
 def rank(df: DataFrame, column: str, order: Sequence[str], out: str | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
     """Ordinal rank from 1 among the non-null values; null has none."""
     w = Window.partitionBy(*partition_by).orderBy(F.col(column).asc_nulls_last(), *order)

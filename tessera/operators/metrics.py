@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import EPS
+from tessera.operators.frame import running
 
 
 def regression(df: DataFrame, truth: str, guess: str, features: int = 1) -> DataFrame:
@@ -67,11 +68,10 @@ def log_loss(df: DataFrame, truth: str, score: str, clip: float = 1e-7) -> DataF
 
 def steps(df: DataFrame, truth: str, score: str) -> DataFrame:
     """Counts by distinct score from the top: rows, positives, and both cumulated. Scores are grouped
-    before they are ordered, so equal scores share a step and the window holds distinct scores only."""
+    before they are ordered, so equal scores share a step; ranges of scores are summed, no window holds all."""
     by = df.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(truth) >= 0.5).alias("p"), F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    return by.select("score", "p", "n", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("seen"), F.sum("p").over(every).alias("all_p"), F.sum("n").over(every).alias("all_n"))
+    every = F.broadcast(df.agg(F.count_if(F.col(truth) >= 0.5).alias("all_p"), F.count("*").alias("all_n")))  # one row
+    return running(by, [F.desc("score")], {"tp": F.col("p"), "seen": F.col("n")}).join(every).select("score", "p", "n", "tp", "seen", "all_p", "all_n")
 
 
 def roc_curve(df: DataFrame, truth: str, score: str) -> DataFrame:
@@ -94,10 +94,11 @@ def pr_curve(df: DataFrame, truth: str, score: str) -> DataFrame:
 
 
 def auc_pr(df: DataFrame, truth: str, score: str) -> DataFrame:
-    """Trapezoids from the curve's first point."""
-    w = Window.orderBy(F.desc("threshold"))
-    c = pr_curve(df, truth, score).select("precision", "recall", F.lag("precision").over(w).alias("p0"), F.lag("recall").over(w).alias("r0"))
-    return c.agg(F.coalesce(F.sum(F.abs(F.col("recall") - F.col("r0")) * (F.col("precision") + F.col("p0")) / 2), F.lit(0.0)).alias("auc_pr"))
+    """Trapezoids from the curve's first point. A step's own counts tell the point before it."""
+    s = steps(df, truth, score)
+    precision, recall = F.col("tp") / F.col("seen"), F.col("tp") / F.col("all_p")
+    r0, p0 = (F.col("tp") - F.col("p")) / F.col("all_p"), (F.col("tp") - F.col("p")) / F.nullif(F.col("seen") - F.col("n"), F.lit(0))
+    return s.agg(F.coalesce(F.sum(F.abs(recall - r0) * (precision + p0) / 2), F.lit(0.0)).alias("auc_pr"))
 
 
 def classification_report(df: DataFrame, truth: str, guess: str) -> DataFrame:

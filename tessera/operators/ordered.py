@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tessera.operators.frame import positions
+
 
 def spec(order: Sequence[str], by: Sequence[str] = ()) -> WindowSpec:
     return Window.partitionBy(*by).orderBy(*order)
@@ -108,7 +110,7 @@ def difference(df: DataFrame, column: str, order: Sequence[str], times: int = 1,
 def label_encode(df: DataFrame, column: str, order: Sequence[str], out: str = "label") -> DataFrame:
     """Ids from 0 by first appearance; null stays null. The distinct values are numbered, then joined."""
     firsts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(F.struct(*order)).alias("_first"))
-    ids = firsts.select(column, (F.row_number().over(Window.orderBy("_first")) - 1).cast("int").alias(out))
+    ids = positions(firsts, ["_first"], "_id").select(column, F.col("_id").cast("int").alias(out))
     return df.join(ids, column, "left")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import EPS, scaled, unscaled
+from tessera.operators.frame import positions
 from tessera.operators.stats import binned, pearson
 
 CENTERS = {"standard": F.avg, "minmax": F.min, "robust": F.median}
@@ -61,7 +62,7 @@ def impute_knn(df: DataFrame, column: str, features: Sequence[str], key: str, k:
 def label_ids(df: DataFrame, column: str, order: Sequence[str]) -> DataFrame:
     """(value, id) by first appearance, the state of a label encoder."""
     firsts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.min(F.struct(*order)).alias("_f"))
-    return firsts.select("value", (F.row_number().over(Window.orderBy("_f")) - 1).cast("int").alias("id"))
+    return positions(firsts, ["_f"], "_id").select("value", F.col("_id").cast("int").alias("id"))
 
 
 def transform_labels(df: DataFrame, column: str, ids: DataFrame, out: str = "label") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import EPS, normal_cdf
+from tessera.operators.frame import positions
 
 
 @dataclass
@@ -81,9 +82,12 @@ def permutation_importance(df: DataFrame, columns: Sequence[str], key: str, pred
 
 def residuals(df: DataFrame, truth: str, guess: str, order: Sequence[str]) -> DataFrame:
     """Mean and spread of residuals, Durbin-Watson, p of a zero mean, and whether the variance of the later
-    half differs by more than twice."""
+    half differs by more than twice. Rows are placed by ranges and meet the row before by its place."""
     e = (F.col(truth) - F.col(guess)).alias("e")
-    rows = df.select(e, *order, F.ntile(2).over(Window.orderBy(*order)).alias("half"), F.lag(F.col(truth) - F.col(guess)).over(Window.orderBy(*order)).alias("b"))
+    placed = positions(df.select(e, *order), order, "at").select("e", "at")
+    half = F.broadcast(placed.agg(F.ceil(F.count("*") / 2).alias("half")))  # one row
+    before = placed.select(F.col("e").alias("b"), (F.col("at") + 1).alias("at"))
+    rows = placed.join(before, "at", "left").join(half).select("e", "b", F.when(F.col("at") < F.col("half"), 1).otherwise(2).alias("half"))
     one = rows.agg(
         F.avg("e").alias("mean"),
         F.stddev_samp("e").alias("std"),

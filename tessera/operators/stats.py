@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import EPS, chi2_upper, normal_cdf, normal_quantile, t_cdf
-from tessera.operators.frame import kurtosis, skewness
+from tessera.operators.frame import kurtosis, running, skewness
 
 
 
@@ -56,8 +56,12 @@ def pearson(x: Column, y: Column) -> Column:
 
 
 def average_ranks(df: DataFrame, column: str, out: str, by: Sequence[str] = ()) -> DataFrame:
-    """Ranks from 1, ties sharing their mean: distinct values are counted before they are ranked."""
+    """Ranks from 1, ties sharing their mean: distinct values are counted before they are ranked, and
+    without keys summed by ranges, so no window holds all of them."""
     counts = df.groupBy(*by, column).agg(F.count("*").alias("_n"))
+    if not by:
+        up = running(counts, [F.col(column).asc_nulls_first()], {"_up": F.col("_n")})
+        return df.join(up.select(column, (F.col("_up") - F.col("_n") + (F.col("_n") + 1) / 2).alias(out)), column, "left")
     w = Window.partitionBy(*by).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
     ranks = counts.select(*by, column, (F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1) / 2).alias(out))
     return df.join(ranks, [*by, column], "left")
@@ -154,7 +158,7 @@ def ks_normal(df: DataFrame, column: str) -> DataFrame:
     """Largest gap between the empirical and the fitted normal distribution, and its asymptotic p."""
     one = df.agg(F.avg(column).alias("_m"), F.stddev_samp(column).alias("_s"), F.count(column).cast("double").alias("_n"))
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_c")).join(F.broadcast(one))
-    up = F.sum("_c").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
+    counts, up = running(counts, [F.col(column)], {"_up": F.col("_c")}), F.col("_up")
     cdf = normal_cdf((F.col(column) - F.col("_m")) / (F.col("_s") + EPS))
     gap = F.greatest(F.abs(up / F.col("_n") - cdf), F.abs((up - F.col("_c")) / F.col("_n") - cdf))
     d = counts.select(gap.alias("g"), "_n").agg(F.max("g").alias("d"), F.max("_n").alias("n"))

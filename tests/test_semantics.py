@@ -77,6 +77,16 @@ def test_profiles_of_nothing(spark):  # noqa: ANN001
     assert one(stats.summary(empty, "x"))["mean"] == 0.0
 
 
+def test_running_sums(spark):  # noqa: ANN001
+    rng = np.random.default_rng(3)
+    rows = [(i, int(v)) for i, v in enumerate(rng.integers(-5, 9, 200))]
+    df = spark.createDataFrame(rows, "k int, v int").repartition(7)
+    got = {r.k: (r.s, r.n) for r in frame.running(df, [F.desc("k")], {"s": F.col("v"), "n": F.lit(1)}, 5).collect()}
+    assert got == {k: (sum(v for j, v in rows if j >= k), 200 - k) for k, _ in rows}
+    assert frame.running(df.limit(0), ["k"], {"s": F.col("v")}).count() == 0
+    assert metrics.steps(spark.createDataFrame([], "y double, s double"), "y", "s").count() == 0
+
+
 def test_positions_are_a_total_order(spark):  # noqa: ANN001
     df = spark.range(1000).withColumn("x", F.col("id") % 7)
     got = frame.positions(df, ["x", "id"], parts=5).orderBy("pos").collect()
