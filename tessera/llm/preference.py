@@ -5,7 +5,8 @@ text) are rendered once as the prompt; what follows is rendered on either side a
 mask of equal length: '1' on the characters that training learns (an assistant's text and its end
 mark), '0' elsewhere. DataFrame functions only.
 
-Defined results: turns are ordered by turn, role, text; null role reads 'unknown', null text is
+Defined results: turns are ordered by turn, role, text, and turns that repeat each stand; whole texts are
+rendered, however long; other columns, whatever their names, are not read; two empty tables give none; null role reads 'unknown', null text is
 empty; turns without a pair are dropped; a pair that one side lacks has an empty completion there;
 equal conversations have two empty completions. Marks inside texts are broken by a space, so a text
 cannot open or close a turn.

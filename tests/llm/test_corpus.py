@@ -476,6 +476,18 @@ def test_preferences(spark):  # noqa: ANN001
     assert preference.format_preferences(chosen, rejected.limit(0)).where("pair_id = 1").first().rejected == ""
 
 
+def test_preferences_odd_rows(spark):  # noqa: ANN001
+    turns, long = "pair_id long, turn long, role string, text string, c string, r string, n_prefix string", "word " * 200_000
+    rows = [(1, 0, "user", long, "x", "x", "x"), (1, 0, "user", long, "x", "x", "x"), (1, 1, "assistant", "same turn", "x", "x", "x"), (1, 1, "assistant", "equal place", "x", "x", "x")]
+    chosen = spark.createDataFrame(rows, turns)
+    rejected = spark.createDataFrame([*rows[:3], (1, 1, "assistant", long, "x", "x", "x")], turns)
+    (got,) = preference.format_preferences(chosen, rejected).collect()
+    assert got.n_prefix == 2 and got.prompt == f"<|user|>\n{long}<|end|>\n" * 2
+    assert got.chosen == "<|assistant|>\nequal place<|end|>\n<|assistant|>\nsame turn<|end|>\n"
+    assert got.rejected == f"<|assistant|>\nsame turn<|end|>\n<|assistant|>\n{long}<|end|>\n" and len(got.rejected_mask) == len(got.rejected)
+    assert preference.format_preferences(chosen.limit(0), rejected.limit(0)).count() == 0
+
+
 def plain_value(v: object) -> str:
     return "none" if v is None else str(v)
 
