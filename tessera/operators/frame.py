@@ -89,17 +89,21 @@ def positions(df: DataFrame, order: Keys, out: str = "pos", parts: int | None =
 
 
 def running(df: DataFrame, order: Keys, sums: dict[str, Column], parts: int | None = None) -> DataFrame:
-    """Sums up to each row, itself among them, in a total order: as `positions`, summed within ranges and
-    shifted by the sums of the ranges before."""
+    """Sums up to each row, itself among them, in a total order: rows are dealt by ranges and summed within
+    them, and the last row of a range takes its sums to every later one. The limits of ranges are sampled,
+    so they are read once: a second reading may draw others."""
     keys = ascending(order)
     n = parts or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = df.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id())
-    totals = dealt.groupBy("_part").agg(*(F.sum(c).alias(f"_t{k}") for k, c in enumerate(sums.values())))
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
-    before = totals.select("_part", *(F.sum(f"_t{k}").over(earlier).alias(f"_b{k}") for k in range(len(sums))))
-    inside = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    own = dealt.withColumns({name: F.sum(c).over(inside) for name, c in sums.items()}).join(F.broadcast(before), "_part")
-    return own.withColumns({name: F.col(name) + F.coalesce(f"_b{k}", F.lit(0)) for k, name in enumerate(sums)}).drop("_part", *(f"_b{k}" for k in range(len(sums))))
+    ranged = Window.partitionBy("_part").orderBy(*keys)
+    inside = ranged.rowsBetween(Window.unboundedPreceding, 0)
+    summed = dealt.withColumns({name: F.sum(c).over(inside) for name, c in sums.items()} | {"_last": F.lead(F.lit(True)).over(ranged).isNull()})
+    sent = summed.withColumn("_to", F.explode(F.when(F.col("_last"), F.sequence("_part", F.lit(n - 1))).otherwise(F.array("_part"))))
+    own = F.col("_to") == F.col("_part")
+    sent = sent.withColumns({c: F.when(own, F.col(f"`{c}`")) for c in df.columns if c not in sums})  # only sums travel
+    earlier = Window.partitionBy("_to").orderBy("_part").rangeBetween(Window.unboundedPreceding, -1)  # one row a part
+    placed = sent.withColumns({f"_b{k}": F.sum(name).over(earlier) for k, name in enumerate(sums)}).where(own)
+    return placed.withColumns({name: F.coalesce(F.col(name) + F.col(f"_b{k}"), name, f"_b{k}") for k, name in enumerate(sums)}).drop("_part", "_last", "_to", *(f"_b{k}" for k in range(len(sums))))
 
 
 def rank(df: DataFrame, column: str, order: Sequence[str], out: str | None = None, partition_by: Sequence[str] = ()) -> DataFrame:

@@ -87,6 +87,28 @@ def test_running_sums(spark):  # noqa: ANN001
     assert metrics.steps(spark.createDataFrame([], "y double, s double"), "y", "s").count() == 0
 
 
+def test_running_sums_beyond_the_sample_of_ranges(spark):  # noqa: ANN001
+    df = spark.range(20_000).select(((F.col("id") * 7919) % 20_000).alias("k"), F.when(F.col("id") % 5 == 0, F.col("id") % 11).alias("v"), F.col("id").cast("string").alias("carried.text"))
+    rows = sorted(df.collect())
+    for parts in (1, 2, 5):
+        got = frame.running(df.repartition(3), ["k"], {"s": F.col("v"), "n": F.lit(1)}, parts).orderBy("k")
+        assert got.columns == ["k", "v", "carried.text", "s", "n"]
+        up, seen = 0, False
+        for i, (r, row) in enumerate(zip(got.collect(), rows, strict=True)):
+            up, seen = up + (row.v or 0), seen or row.v is not None
+            assert tuple(r) == (*row, up if seen else None, i + 1)
+
+
+def test_ks_normal_by_brute_force(spark):  # noqa: ANN001
+    x = np.round(np.random.default_rng(5).normal(3, 2, 20_000), 3)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+    values, counts = np.unique(x, return_counts=True)
+    up, n = np.cumsum(counts), len(x)
+    cdf = np.array([0.5 * math.erfc((x.mean() - v) / x.std(ddof=1) / math.sqrt(2)) for v in values])
+    d = max(np.abs(up / n - cdf).max(), np.abs((up - counts) / n - cdf).max())
+    assert one(stats.ks_normal(df, "x")).statistic == pytest.approx(d, abs=1e-6)
+
+
 def test_positions_are_a_total_order(spark):  # noqa: ANN001
     df = spark.range(1000).withColumn("x", F.col("id") % 7)
     got = frame.positions(df, ["x", "id"], parts=5).orderBy("pos").collect()
