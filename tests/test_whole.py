@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
 import pytest
 
+from tessera.operators import models
 from tessera.plans import catalog, registry
 
 catalog.load()
@@ -57,3 +59,35 @@ def test_tables_and_vectors(spark, folder):  # noqa: ANN001
     assert counts == {0: 12, 1: 21, 2: 11, 3: 21}
     clusters = {r.vec_id: r.cluster for r in run("dbscan")}
     assert clusters == {i: 0 if i in (0, 17, 34) else -1 if i < 100 else (i - 100) // 5 for i, _, _ in VECTORS}  # those three equal the first five copies
+
+
+def test_blocks_of_neighbours(spark):  # noqa: ANN001
+    rng = np.random.default_rng(8)
+    rows = [(i, np.round(rng.normal(size=3), 1).tolist()) for i in range(90)] + [(100 + i, [0.5, 0.5, 0.5]) for i in range(30)]
+    rows += [(200, None), (201, [1.0, None, 2.0]), (202, [1.0, float("nan"), 0.0]), (203, [1.0]), (204, [1e200, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "b int, features array<double>")
+
+    def apart(v, w):  # noqa: ANN001, ANN202
+        if v is None or w is None or len(v) != len(w) or None in v or None in w:
+            return None
+        d = 0.0
+        for x, y in zip(v, w):
+            d += (x - y) * (x - y)
+        return math.sqrt(d)
+
+    last = lambda d: (d is None, d != d, d if d is not None and d == d else 0.0)
+    for most, k in ((204, 4), (205, 4), (205, 124)):
+        few = df.where(df["b"] < most)
+        held = [r for r in rows if r[0] < most]
+        got = models.nearest(few.where("b % 3 = 0").withColumnRenamed("b", "q"), few, "q", "b", k, blocks=3).collect()
+        want = {(i, j) for i, v in held if i % 3 == 0 for _, j in sorted((last(apart(v, w)), j) for j, w in held)[:k]}
+        assert {(r.q, r.b) for r in got} == want
+        named = dict(rows)
+        assert all(str(r.distance) == str(apart(named[r.q], named[r.b])) for r in got)
+
+
+def test_plans_of_pairs_move_blocks(spark, folder):  # noqa: ANN001
+    """Pairs of rows never pass an exchange: none stands above the exploded blocks but that by task."""
+    for name in ("nearest",):
+        plan = registry.QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "MapInArrow" in plan
