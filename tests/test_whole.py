@@ -84,10 +84,14 @@ def test_blocks_of_neighbours(spark):  # noqa: ANN001
         assert {(r.q, r.b) for r in got} == want
         named = dict(rows)
         assert all(str(r.distance) == str(apart(named[r.q], named[r.b])) for r in got)
+    for blocks in (3, 20):  # of which some have no rows
+        got = models.pairwise(df.where("b % 7 < 1"), "b", blocks=blocks).collect()
+        n = sum(i % 7 < 1 for i, _ in rows)
+        assert len(got) == len({(r.a, r.b) for r in got}) == n * (n - 1) // 2 and all(r.a < r.b and str(r.distance) == str(apart(named[r.a], named[r.b])) for r in got)
 
 
 def test_plans_of_pairs_move_blocks(spark, folder):  # noqa: ANN001
     """Pairs of rows never pass an exchange: none stands above the exploded blocks but that by task."""
-    for name in ("nearest",):
+    for name in ("nearest", "pairwise"):
         plan = registry.QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
         assert "Join" not in plan and "MapInArrow" in plan
