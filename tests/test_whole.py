@@ -95,3 +95,14 @@ def test_plans_of_pairs_move_blocks(spark, folder):  # noqa: ANN001
     for name in ("nearest", "pairwise"):
         plan = registry.QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
         assert "Join" not in plan and "MapInArrow" in plan
+
+
+def test_silhouette_of_repeated_keys(spark):  # noqa: ANN001
+    rows = [(1, 0, [0.0, 0.0]), (1, 0, [0.0, 3.0]), (2, 0, [0.0, 4.0]), (3, 1, [9.0, 0.0]), (4, 1, [9.0, 1.0])]
+    out = []
+    for key in (1, 2, 3, 4):
+        apart = {c: [math.dist(v, w) for i, _, v in rows if i == key for j, k, w in rows if j != key and k == c] for c in (0, 1)}
+        near, far = (np.mean(apart[c]) for c in ((0, 1) if key < 3 else (1, 0)))
+        out.append((far - near) / max(near, far))
+    df = spark.createDataFrame(rows, "id long, label int, features array<double>")
+    assert models.silhouette(df, "id", "label").first()[0] == pytest.approx(np.mean(out))
