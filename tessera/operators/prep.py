@@ -239,7 +239,7 @@ def random_undersample(df: DataFrame, label: str, key: str, seed: int = 42) -> D
 def smote(df: DataFrame, features: Sequence[str], label: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
     """The smallest class grows to the largest's count by points between a row and one of its k nearest
     of that class."""
-    from tessera.operators.models import nearest
+    from tessera.operators.models import checkpointed, nearest
 
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
     if len(counts) < 2:
@@ -248,11 +248,11 @@ def smote(df: DataFrame, features: Sequence[str], label: str, key: str, k: int =
     few = df.where(F.col(label) == F.lit(small)).select(F.col(key), F.array(*(F.col(f).cast("double") for f in features)).alias("features"))
     pairs = nearest(few, few.select(F.col(key).alias("_k"), "features", F.col("features").alias("_to")), key, "_k", k + 1).where(F.col(key) != F.col("_k"))
     by = Window.partitionBy(key).orderBy("distance", "_k")
-    near = pairs.withColumn("_r", F.row_number().over(by)).join(few, key)
+    near = checkpointed(pairs.withColumn("_r", F.row_number().over(by)).join(few, key))  # at most k + 1 rows a key, read several times
     each = -(-need // max(1, counts[small]))
     made = near.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(each - 1)))).where((F.xxhash64(F.lit(seed), F.col(key), F.col("_c")) % k + k) % k + 1 == F.col("_r"))
     lam = F.abs(F.xxhash64(F.lit(seed + 1), F.col(key), F.col("_c")) % 1_000_000) / 1e6
-    made = made.orderBy("_c", key).limit(need)
+    made = positions(made, ["_c", key], "_p").where(F.col("_p") < need)
     points = made.select(*((F.col("features")[j] + lam * (F.col("_to")[j] - F.col("features")[j])).alias(f) for j, f in enumerate(features)), F.lit(small).alias(label), F.lit(True).alias("synthetic"))
     own = df.select(*(F.col(f).cast("double").alias(f) for f in features), label, F.lit(False).alias("synthetic"))
     return own.unionByName(points)

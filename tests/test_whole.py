@@ -106,3 +106,7 @@ def test_silhouette_of_repeated_keys(spark):  # noqa: ANN001
         out.append((far - near) / max(near, far))
     df = spark.createDataFrame(rows, "id long, label int, features array<double>")
     assert models.silhouette(df, "id", "label").first()[0] == pytest.approx(np.mean(out))
+
+
+def test_smote_cuts_by_position(spark, folder):  # noqa: ANN001
+    assert "Limit" not in registry.QUERIES["smote"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
