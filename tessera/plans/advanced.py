@@ -289,12 +289,17 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drained(spark: SparkSession, df: DataFrame, mode: str = "append") -> DataFrame:
-    """All rows of a stream over what is there now."""
+    """All rows of a stream over what is there now. Appended rows go to files in the folder that driver and
+    executors share, and so does the state; a complete result, as small as its groups, is kept at the driver."""
     import uuid
 
+    folder = f"{streams.shared(spark)}/stream-{uuid.uuid4().hex}"
+    out = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    if mode == "append":
+        out.format("parquet").option("path", f"{folder}/rows").start().awaitTermination()
+        return spark.read.schema(df.schema).parquet(f"{folder}/rows")
     name = f"s{uuid.uuid4().hex}"
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
+    out.format("memory").queryName(name).start().awaitTermination()
     return spark.table(name)
 
 

@@ -110,3 +110,13 @@ def test_silhouette_of_repeated_keys(spark):  # noqa: ANN001
 
 def test_smote_cuts_by_position(spark, folder):  # noqa: ANN001
     assert "Limit" not in registry.QUERIES["smote"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_streamed_rows_stay_with_executors(spark, folder):  # noqa: ANN001
+    got = registry.QUERIES["streamed_running"](spark, folder)
+    assert all(f.startswith(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) for f in (p.removeprefix("file://") for p in got.inputFiles())) and got.inputFiles()
+    sums: dict = {}
+    want = {}
+    for i, user, _, value in EVENTS:
+        want[i] = sums[user] = sums.get(user, 0.0) + value
+    assert {r.event_id: r.total for r in got.collect()} == want
