@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.quantiles import quantiles
+
 Keys = Sequence[str | Column]
 
 
@@ -212,9 +214,14 @@ STATISTICS: dict[str, Callable[[str], Column]] = {
 
 
 def describe(df: DataFrame, columns: Sequence[str] = (), exact: bool = True) -> DataFrame:
-    """Eight statistics by numeric column, one pass; quartiles by sketch unless `exact`."""
+    """Eight statistics by numeric column; quartiles by sketch in one pass unless `exact`."""
     columns = list(columns) or numeric(df)
-    how = STATISTICS if exact else STATISTICS | {f"{p}%": (lambda c, p=p: F.percentile_approx(c, p / 100).cast("double")) for p in (25, 50, 75)}
+    if exact:
+        held = quantiles(df, {c: F.col(c) for c in columns}, (0.25, 0.5, 0.75))
+        quartiles = {f"{p}%": (lambda c, k=k: F.lit(held[c][k]).cast("double")) for k, p in enumerate((25, 50, 75))}
+    else:
+        quartiles = {f"{p}%": (lambda c, p=p: F.percentile_approx(c, p / 100).cast("double")) for p in (25, 50, 75)}
+    how = STATISTICS | quartiles
     one = df.agg(*(f(c).alias(f"{s}|{c}") for s, f in how.items() for c in columns))
     return unfolded(one, list(how), {c: (lambda s, c=c: F.col(f"`{s}|{c}`")) for c in columns}, "statistic")
 

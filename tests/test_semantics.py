@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars, vectors
-from tessera.operators import frame, linalg, metrics, models, network, ordered, prep, report, stats, timeseries, transformer, trees
+from tessera.operators import frame, linalg, metrics, models, network, ordered, prep, quantiles, report, stats, timeseries, transformer, trees
 from tessera.operators.pipeline import Pipeline
 from tessera.sources import tables
 
@@ -396,3 +396,29 @@ def test_vectors(spark):  # noqa: ANN001
     a, b = vectors.literal([1, 0, 2]), vectors.literal([1, 1, 0])
     r = one(spark.range(1).select(vectors.hamming(a, b).alias("h"), vectors.mahalanobis(a, b, np.eye(3).tolist()).alias("m"), vectors.norm(a, 1).alias("n"), vectors.decode_one_hot(vectors.one_hot(F.lit(2), 4)).alias("d")))
     assert r.h == pytest.approx(2 / 3) and r.m == pytest.approx(5**0.5) and r.n == 3.0 and r.d == 2
+
+
+@pytest.mark.parametrize("left", [0, 50, 200_000])
+def test_quantiles_by_sorting(spark, monkeypatch, left):  # noqa: ANN001
+    monkeypatch.setattr(quantiles, "LEFT", left)
+    rng = np.random.default_rng(6)
+    a = [float(v) for v in rng.normal(0, 1, 3000)] + [0.0, -0.0, 1e-310, -1e308, math.inf]
+    b = [float(v) for v in rng.integers(-2, 3, 3000)] + [None, None, math.nan, math.inf, -math.inf]
+    c = [1 + k * 2.0**-52 if k % 3 else None for k in range(3005)]
+    df = spark.createDataFrame([(*t, None) for t in zip(a, b, c)], "a double, b double, c double, n double").repartition(5)
+    shares = [0.0, 0.1, 0.25, 0.5, 0.999, 1.0]
+    got = quantiles.quantiles(df, {x: F.col(x) for x in "abcn"}, shares)
+    for name, values in zip("abc", (a, b, c)):
+        x = np.sort([v for v in values if v is not None])
+        at = [s * (len(x) - 1) for s in shares]
+        low, high = ([x[int(f(p))] for p in at] for f in (np.floor, np.ceil))
+        assert [str(v) for v in got[name]] == [str(float(v if v == w or p == int(p) else v + (p - int(p)) * (w - v)) + 0.0) for v, w, p in zip(low, high, at)]
+    assert got["n"] == [None] * 6
+    assert prep.Scaler.fit(df.select("n"), ["n"], "robust").params == {"n": (0.0, 0.0)}
+
+
+def test_profiles_hold_no_table_of_values(spark):  # noqa: ANN001
+    df = spark.createDataFrame([(float(i), i % 3) for i in range(40)], "x double, k int")
+    assert "percentile" not in frame.describe(df)._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.statistic: (r.x, r.k) for r in frame.describe(df).collect()}
+    assert [got[s] for s in ("25%", "50%", "75%")] == [(9.75, 0.0), (19.5, 1.0), (29.25, 2.0)]
