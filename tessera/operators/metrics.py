@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalars import EPS
 from tessera.operators.frame import running
+from tessera.operators.quantiles import quantiles
 
 
 def regression(df: DataFrame, truth: str, guess: str, features: int = 1) -> DataFrame:
@@ -27,7 +28,7 @@ def regression(df: DataFrame, truth: str, guess: str, features: int = 1) -> Data
         (1 - (1 - r2) * (n - 1) / (n - features - 1)).alias("adjusted_r2"),
         (1 - F.var_pop(e) / (F.var_pop(y) + EPS)).alias("explained_variance"),
         F.max(F.abs(e)).alias("max_error"),
-        F.median(F.abs(e)).alias("median_absolute_error"),
+        F.lit(quantiles(df, {"e": F.abs(e)}, (0.5,))["e"][0]).cast("double").alias("median_absolute_error"),
     )
 
 

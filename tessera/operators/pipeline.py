@@ -43,8 +43,7 @@ class Pipeline:
             if kind in prep.CENTERS:
                 step["params"] = {c: list(p) for c, p in prep.Scaler.fit(df, columns, kind).params.items()}
             elif kind == "impute":
-                fn = {"mean": F.avg, "median": F.median}[how.get("how", "mean")]
-                step["params"] = df.agg(*(fn(c).alias(c) for c in columns)).first().asDict()
+                step["params"] = prep.centers(df, columns, how.get("how", "mean"))
             elif kind == "pca":
                 fit = models.pca(df.select(F.array(*(F.col(c).cast("double") for c in columns)).alias("features")), len(columns), how["parts"])
                 step["params"] = {"mean": fit.mean.tolist(), "components": fit.components.tolist()}

@@ -12,25 +12,28 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalars import EPS, scaled, unscaled
 from tessera.operators.frame import positions
+from tessera.operators.quantiles import quantiles
 from tessera.operators.stats import binned, pearson
 
 CENTERS = {"standard": F.avg, "minmax": F.min, "robust": F.median}
 SPREADS = {
     "standard": lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0)),
     "minmax": lambda c: F.max(c) - F.min(c),
-    "robust": lambda c: F.percentile(c, 0.75) - F.percentile(c, 0.25),
 }
 
 
 @dataclass
 class Scaler:
-    """Centre and spread by column, fitted in one pass; they are scalars in the plan afterwards."""
+    """Centre and spread by column, fitted in one pass, or a few for quartiles; they are scalars in the plan afterwards."""
 
     kind: str
     params: dict[str, tuple[float, float]]
 
     @classmethod
     def fit(cls, df: DataFrame, columns: Sequence[str], kind: str = "standard") -> Scaler:
+        if kind == "robust":
+            held = quantiles(df, {c: F.col(c) for c in columns}, (0.25, 0.5, 0.75))
+            return cls(kind, {c: (q2 or 0.0, (q3 - q1) if q2 is not None else 0.0) for c, (q1, q2, q3) in held.items()})
         one = df.agg(*(f[kind](F.col(c)).cast("double").alias(f"{c}|{k}") for c in columns for k, f in enumerate((CENTERS, SPREADS)))).first()
         return cls(kind, {c: (one[f"{c}|0"] or 0.0, one[f"{c}|1"] or 0.0) for c in columns})
 
@@ -41,10 +44,16 @@ class Scaler:
         return df.withColumns({c: unscaled(F.col(c), F.lit(m), F.lit(s)) for c, (m, s) in self.params.items()})
 
 
+def centers(df: DataFrame, columns: Sequence[str], how: str) -> dict[str, float | None]:
+    """Mean or exact median of each column."""
+    if how == "median":
+        return {c: held[0] for c, held in quantiles(df, {c: F.col(c) for c in columns}, (0.5,)).items()}
+    return df.agg(*({"mean": F.avg}[how](c).alias(c) for c in columns)).first().asDict()
+
+
 def impute(df: DataFrame, columns: Sequence[str], how: str = "mean") -> DataFrame:
     """Nulls become the column's mean or exact median."""
-    fn = {"mean": F.avg, "median": F.median}[how]
-    one = df.agg(*(fn(c).alias(c) for c in columns)).first()
+    one = centers(df, columns, how)
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(one[c])) for c in columns})
 
 
@@ -104,7 +113,7 @@ def equal_width_bins(df: DataFrame, column: str, bins: int, out: str = "bin") ->
 
 def equal_frequency_bins(df: DataFrame, column: str, bins: int, out: str = "bin") -> DataFrame:
     """By the exact quantiles of the column; equal values share a bin."""
-    edges = df.agg(F.percentile(column, [k / bins for k in range(1, bins)])).first()[0] or []
+    edges = [q for q in quantiles(df, {column: F.col(column)}, [k / bins for k in range(1, bins)])[column] if q is not None]
     return custom_bins(df, column, edges, out)
 
 
@@ -119,7 +128,7 @@ def z_score_outliers(df: DataFrame, column: str, threshold: float = 3.0, out: st
 
 
 def iqr_outliers(df: DataFrame, column: str, multiplier: float = 1.5, out: str = "outlier") -> DataFrame:
-    q1, q3 = df.agg(F.percentile(column, 0.25), F.percentile(column, 0.75)).first()
+    q1, q3 = quantiles(df, {column: F.col(column)}, (0.25, 0.75))[column]
     reach = multiplier * (q3 - q1) if q1 is not None else 0.0
     return df.withColumn(out, (F.col(column) < F.lit(q1) - reach) | (F.col(column) > F.lit(q3) + reach))
 

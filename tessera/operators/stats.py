@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalars import EPS, chi2_upper, normal_cdf, normal_quantile, t_cdf
 from tessera.operators.frame import kurtosis, running, skewness
+from tessera.operators.quantiles import quantiles
 
 
 
@@ -36,16 +37,17 @@ def summary_text(name: str) -> Column:
 
 
 def summary(df: DataFrame, column: str) -> DataFrame:
-    """mean, variance (sample and population), std, median, iqr, skewness, kurtosis in one pass."""
+    """mean, variance (sample and population), std, median, iqr, skewness, kurtosis."""
     c = F.col(column)
     zero = F.lit(0.0)
+    q1, q2, q3 = quantiles(df, {column: c}, (0.25, 0.5, 0.75))[column]
     return df.agg(
         F.coalesce(F.avg(c), zero).alias("mean"),
         F.coalesce(F.var_samp(c), zero).alias("variance"),
         F.coalesce(F.var_pop(c), zero).alias("variance_pop"),
         F.coalesce(F.stddev_samp(c), zero).alias("std"),
-        F.coalesce(F.median(c), zero).alias("median"),
-        F.coalesce(F.percentile(c, 0.75) - F.percentile(c, 0.25), zero).alias("iqr"),
+        F.lit(0.0 if q2 is None else q2).alias("median"),
+        F.lit(0.0 if q2 is None else q3 - q1).alias("iqr"),
         skewness(c).alias("skewness"),
         kurtosis(c).alias("kurtosis"),
     )
