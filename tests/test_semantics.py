@@ -422,3 +422,30 @@ def test_profiles_hold_no_table_of_values(spark):  # noqa: ANN001
     assert "percentile" not in frame.describe(df)._jdf.queryExecution().optimizedPlan().toString()
     got = {r.statistic: (r.x, r.k) for r in frame.describe(df).collect()}
     assert [got[s] for s in ("25%", "50%", "75%")] == [(9.75, 0.0), (19.5, 1.0), (29.25, 2.0)]
+
+
+def test_layers_in_the_last_digit(spark):  # noqa: ANN001
+    """Bit by bit what the C library's exp and log, sums in order and updated squares give, as SQL has them."""
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.normal(0, 0.2, 16).tolist()) for i in range(300)] + [(300, []), (301, None), (302, [1.0, None]), (303, [800.0, 0.0])]
+    df = spark.createDataFrame(rows, "k int, a array<double>")
+    a = F.col("a")
+    got = {r.k: r for r in df.select("k", vectors.softmax(a).alias("s"), vectors.log_softmax(a).alias("l"), vectors.layer_norm(a).alias("n")).collect()}
+    for k, x in rows[:300]:
+        e = [math.exp(v - max(x)) for v in x]
+        s = m = q = 0.0
+        for v in e:
+            s += v
+        for i, v in enumerate(x):
+            d = v - m
+            m += d / (i + 1)
+            q += (v - m) * d
+        mean = 0.0
+        for v in x:
+            mean += v
+        mean, sd = mean / len(x), math.sqrt(q / len(x) + 1e-5)
+        assert got[k].s == [v / s for v in e]
+        assert got[k].l == [v - max(x) - math.log(s) for v in x]
+        assert got[k].n == [(v - mean) / sd for v in x]
+    assert (got[300].s, got[301].s, got[302].s, got[303].s) == ([], None, [None, None], [1.0, 0.0])
+    assert (got[300].n, got[301].l, got[302].n, got[303].l) == ([], None, [None, None], [0.0, -800.0])
