@@ -3,8 +3,10 @@ are folds over one ordered array a partition key, or Arrow batches for long ones
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -68,20 +70,34 @@ def weighted_moving_average(c: Column, w: WindowSpec, weights: Sequence[float])
 
 def ewm_mean(df: DataFrame, column: str, alpha: float, order: Sequence[str], by: Sequence[str] = (), out: str = "ewm", batches: bool = False) -> DataFrame:
     """y = alpha x + (1 - alpha) y from the first value on; a null carries y, null before it. A fold
-    over each key's ordered array; with `batches` a pass of Arrow groups for keys of very many rows."""
+    over each key's ordered array; with `batches` one pass over the sorted rows of many keys in Arrow batches, which
+    holds no key's rows together."""
     if batches:
-        import pandas as pd
-
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            y, made = None, []
-            for x in pdf.sort_values(list(order))[column]:
-                if x is not None and x == x:
-                    y = x if y is None else alpha * x + (1 - alpha) * y
-                made.append(y)
-            return pdf.sort_values(list(order)).assign(**{out: pd.Series(made, index=pdf.sort_values(list(order)).index, dtype="float64")})
+        names, first = list(df.columns), lambda t: repr([t[c][0].as_py() for c in by])
+
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, y = None, None
+            for part in parts:
+                if not part.num_rows:
+                    continue
+                own = pa.table({c: part[c] for c in by})
+                new = np.zeros(part.num_rows, dtype=bool)
+                for c in own.itercolumns():
+                    codes = c.combine_chunks().dictionary_encode("encode").indices.to_numpy()
+                    new[1:] |= codes[1:] != codes[:-1]
+                new[0] = first(own) != held
+                made = []
+                for x, fresh in zip(part[column].cast(pa.float64()).to_pylist(), new.tolist()):
+                    y = None if fresh else y
+                    if x is not None and x == x:
+                        y = x if y is None else alpha * x + (1 - alpha) * y
+                    made.append(y)
+                held = first(own.slice(part.num_rows - 1))
+                yield pa.record_batch([*(part[c] for c in names), pa.array(made, pa.float64())], names=[*names, out])
 
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{out}` double"])
-        return df.groupBy(*by).applyInPandas(run, schema)
+        keyed = df.repartition(*(F.col(c) for c in by)) if by else df.coalesce(1)
+        return keyed.sortWithinPartitions(*by, *(F.col(c).asc_nulls_last() for c in order)).mapInArrow(run, schema)
     rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, *(c for c in df.columns if c not in order and c not in by)))).alias("_rows"))
 
     def step(acc: Column, row: Column) -> Column:

@@ -122,6 +122,25 @@ def test_ewm_batches_agree_with_fold(spark):  # noqa: ANN001
     assert a[0].ewm is None and [r.ewm for r in a] == [r.ewm for r in b]
 
 
+def test_ewm_batches_hold_no_key_together(spark):  # noqa: ANN001
+    rows = [(k, n, i, None if i is not None and i % 7 == 2 else float(((i or 0) * 13 + k) % 29)) for k in range(9) for n in ("a", None) for i in [*range(23), None]]
+    df = spark.createDataFrame(rows, "k int, n string, t int, x double").repartition(3)
+    with_size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+        made = ordered.ewm_mean(df, "x", 0.4, ["t"], ["k", "n"], batches=True)
+        assert "FlatMapGroups" not in made._jdf.queryExecution().optimizedPlan().toString()
+        got = {(r.k, r.n, r.t): r.ewm for r in made.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", with_size)
+    assert len(got) == len(rows)
+    y = None
+    for k, n, t, x in rows:
+        y = None if t == 0 else y
+        y = y if x is None else x if y is None else 0.4 * x + (1 - 0.4) * y
+        assert got[k, n, t] == y
+
+
 def test_rolling_waits_for_a_full_window(spark):  # noqa: ANN001
     w = ordered.spec(["t"])
     df = spark.createDataFrame([(i, None if i == 1 else float(i)) for i in range(4)], "t int, x double")
