@@ -120,3 +120,25 @@ def test_streamed_rows_stay_with_executors(spark, folder):  # noqa: ANN001
     for i, user, _, value in EVENTS:
         want[i] = sums[user] = sums.get(user, 0.0) + value
     assert {r.event_id: r.total for r in got.collect()} == want
+
+
+def test_words_are_counted_in_their_rows(spark, monkeypatch):  # noqa: ANN001
+    from tessera.operators import text
+
+    monkeypatch.setattr(text, "SLICE", 40)
+    rows = [(i, f"Red, blue\t RED w{i % 4} " * (i % 5)) for i in range(30)] + [(40, None), (41, " \n"), (42, "...")]
+    want = {(i, w): n for i, t in rows if t for w, n in Counter(t.lower().replace(",", "").replace(".", "").split()).items()}
+    df = spark.createDataFrame(rows, "id long, text string")
+    bag = text.bag_of_words(df, "id", "text")
+    assert "Aggregate" not in bag._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.id, r.token): r.n for r in bag.collect()} == want and bag.count() == len(want)
+    holders = Counter(w for _, w in want)
+    size = {i: sum(n for (j, _), n in want.items() if j == i) for i, _ in rows}
+    got = {(r.id, r.token): r.weight for r in text.tfidf(df, "id", "text").collect()}
+    assert got == pytest.approx({(i, w): n / size[i] * math.log(33 / holders[w]) for (i, w), n in want.items()})
+    twice = df.unionAll(df.where("id % 3 = 0").selectExpr("id", "concat(text, ' more') AS text"))  # rows that share a key
+    both = Counter()
+    for i, t in [*rows, *((i, f"{t} more") for i, t in rows if i % 3 == 0 and t is not None)]:
+        both.update({(i, w): n for w, n in Counter((t or "").lower().replace(",", "").replace(".", "").split()).items()})
+    assert {(r.id, r.token): r.n for r in text.bag_of_words(twice, "id", "text").collect()} == dict(both)
+    assert abs(sum(r.n / r.size for r in text.counted(twice, "id", "text").collect()) - len({i for i, _ in both})) < 1e-9
