@@ -85,9 +85,8 @@ def bag_of_words(df: DataFrame, key: str, text: str) -> DataFrame:
 def tfidf(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, token, weight): share of the document's tokens x ln(documents / documents with the token)."""
     n = df.count()
-    bag = bag_of_words(df, key, text)
+    bag = counted(df, key, text)
     docs = bag.groupBy("token").agg(F.count("*").alias("df"))
-    bag = bag.withColumn("size", F.sum("n").over(Window.partitionBy(key)))
     # tokens of COMMON of the documents or more are at most (tokens a document) / COMMON: they go to every task
     common = docs.where(F.col("df") >= COMMON * n)
     known = bag.join(F.broadcast(common), "token", "left")
