@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars, vectors
-from tessera.operators import frame, linalg, metrics, models, network, ordered, prep, quantiles, report, stats, timeseries, transformer, trees
+from tessera.operators import blocks, frame, linalg, metrics, models, network, ordered, prep, quantiles, report, stats, timeseries, transformer, trees
 from tessera.operators.pipeline import Pipeline
 from tessera.sources import tables
 
@@ -468,3 +468,34 @@ def test_layers_in_the_last_digit(spark):  # noqa: ANN001
         assert got[k].n == [(v - mean) / sd for v in x]
     assert (got[300].s, got[301].s, got[302].s, got[303].s) == ([], None, [None, None], [1.0, 0.0])
     assert (got[300].n, got[301].l, got[302].n, got[303].l) == ([], None, [None, None], [0.0, -800.0])
+
+
+@pytest.mark.parametrize("least", [1, 3, 6])
+def test_dbscan_by_brute_force(spark, least):  # noqa: ANN001
+    rng = np.random.default_rng(9)
+    x = np.r_[rng.normal(0, 1, (150, 3)), np.repeat(rng.normal(0, 1, (6, 3)), 8, axis=0) + rng.normal(0, 0.05, (48, 3)), np.repeat([[3.0, 3.0, 3.0]], 7, axis=0), np.linspace(4, 9, 60)[:, None] * [1, 0, 0]]
+    keys = rng.permutation(len(x)).tolist()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= 0.4
+    core, label = d.sum(1) >= least, {}
+    order = np.argsort(keys)
+    for k in order:
+        if core[k] and k not in label:
+            label[k], todo = len(set(label.values())), [k]
+            while todo:
+                for j in np.flatnonzero(d[todo.pop()] & core):
+                    if j not in label:
+                        label[j] = label[k]
+                        todo.append(j)
+    want = {keys[k]: label[k] if core[k] else min((label[j] for j in np.flatnonzero(d[k] & core)), default=-1) for k in range(len(x))}
+    df = spark.createDataFrame([*zip(keys, x.tolist()), (900, None), (901, [math.nan, 0.0, 0.0]), (902, [1.0])], "id int, features array<double>")
+    want |= {900: -1, 901: -1, 902: -1 if least > 1 else max(want.values()) + 1}
+    got = {r.id: r.cluster for r in models.dbscan(df, "id", 0.4, least).collect()}
+    assert got == want
+
+
+def test_pairs_within_reach():
+    x = np.random.default_rng(1).normal(0, 1, (3000, 5))
+    asks = np.arange(0, 3000, 3)
+    got = [p for i, j in blocks.within(x, asks, 0.5) for p in zip(i.tolist(), j.tolist())]
+    d = np.sqrt(((x[asks][:, None] - x[None]) ** 2).sum(2))
+    assert len(got) == len(set(got)) and set(got) == {(int(asks[i]), int(j)) for i, j in zip(*np.nonzero(d <= 0.5))}
